@@ -7,7 +7,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.session import materialize
@@ -51,17 +51,14 @@ def rates(counts: DataFrame, targets: DataFrame, total_tokens: float | None = No
     a null cap means 1.
     """
     held = counts.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
-    goal = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
-    all_ = goal.join(held, "source", "left").fillna(0, ["tokens", "documents"])
-    usable = F.when((F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.col("target_share"))
-    shares = all_.withColumn("usable", usable)
-    sums = shares.agg(F.sum("usable").alias("share_sum"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("usable")).alias("smallest"))
-    size = F.lit(float(total_tokens)) if total_tokens is not None else F.col("smallest") * F.col("share_sum")
-    wanted = size * F.col("usable") / F.col("share_sum")
-    return shares.crossJoin(sums).select(  # one row beside each target
-        "source", "target_share", "max_repeats", "tokens", "documents",
-        F.coalesce(F.least(wanted / F.col("tokens"), F.col("max_repeats").cast("double")), F.lit(0.0)).alias("rate"),
-    )
+    goal = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
+    rows = goal.join(held, "source", "left").fillna(0, ["tokens", "documents"]).collect()  # a row per target
+    usable = [r for r in rows if r.tokens > 0 and r.cap > 0 and (r.share or 0) > 0]
+    whole = sum(r.share for r in usable)
+    size = min((r.cap * r.tokens * whole / r.share for r in usable), default=0.0) if total_tokens is None else total_tokens
+    rate = {r.source: round(min(size * r.share / whole / r.tokens, r.cap), 9) for r in usable}
+    out = sorted((r.source, r.share, r.cap, r.tokens, r.documents, float(rate.get(r.source, 0.0))) for r in rows)
+    return counts.sparkSession.createDataFrame(out, "source string, target_share double, max_repeats int, tokens bigint, documents bigint, rate double")
 
 
 def draw(corpus: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, seed: int = 7, most_targets: int = 10_000, **options: object) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +85,6 @@ def draw(corpus: DataFrame, targets: DataFrame, *, total_tokens: float | None =
 def share_report(copies: DataFrame, plan: DataFrame) -> DataFrame:
     """Per target source: tokens held, rate, copies and tokens drawn, target and actual share."""
     drawn = copies.groupBy("source").agg(F.count("*").alias("copies"), F.sum("tokens").alias("drawn_tokens"))
-    total = drawn.agg(F.sum("drawn_tokens").alias("all_tokens"))
-    out = plan.join(drawn, "source", "left").fillna(0, ["copies", "drawn_tokens"]).crossJoin(total)
-    return out.select("source", "target_share", "max_repeats", "documents", "tokens", "rate", "copies", "drawn_tokens", (F.col("drawn_tokens") / F.col("all_tokens")).alias("actual_share"))
+    out = plan.join(drawn, "source", "left").fillna(0, ["copies", "drawn_tokens"])
+    share = F.try_divide(F.col("drawn_tokens"), F.sum("drawn_tokens").over(Window.partitionBy(F.lit(1))))  # a row per target
+    return out.select("source", "target_share", "max_repeats", "documents", "tokens", "rate", "copies", "drawn_tokens", share.alias("actual_share"))

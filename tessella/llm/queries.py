@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import canonical, leakage, mixing, readability
+from tessella.llm import canonical, leakage, mixing, neardup, readability
 from tessella.sources.tables import table
 
 
@@ -27,6 +27,17 @@ def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return lost.groupBy("law").agg(F.count("*").alias("citations"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = table(spark, folder, "raw_docs")
+    return neardup.duplicate_pairs(*neardup.near_duplicates(texts, doc_id=F.col("doc_id"), text=F.col("full_text"), size=3, threshold=0.6))
+
+
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document at the operator's own settings: five words, similarity of 0.8."""
+    texts = table(spark, folder, "raw_docs")
+    return neardup.link_counts(*neardup.near_duplicates(texts, doc_id=F.col("doc_id"), text=F.col("full_text")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -61,7 +72,7 @@ def p8_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p6_found": p6_found, "p6_spans": p6_spans, "p7_draw": p7_draw, "p7_shares": p7_shares,
+        "p1_found": p1_found, "p1_unmatched": p1_unmatched, "p5_found": p5_found, "p5_links": p5_links, "p6_found": p6_found, "p6_spans": p6_spans, "p7_draw": p7_draw, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_levels": p8_levels,
     }
 
