@@ -245,7 +245,7 @@ def joined(blocks: list[bytes], threshold: float, chunk: int = 1 << 21) -> tuple
     todo = high - low
     probes, low, todo = probes[todo > 0], low[todo > 0], todo[todo > 0]
     j_n, j_pos, j_doc = n[indexed], pos[indexed], doc[indexed]
-    j_parity, j_whole = parity[j_doc], whole[j_doc].astype(np.float32)
+    j_parity, j_whole = parity[j_doc], whole[j_doc].astype(np.float64)
     ends = np.cumsum(todo)
     found, a = [], 0
     share = threshold / (1 + threshold)
@@ -255,13 +255,13 @@ def joined(blocks: list[bytes], threshold: float, chunk: int = 1 << 21) -> tuple
         i = np.repeat(probes[a:b], some)
         j = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(low[a:b], some)
         both = n[i] + j_n[j]
-        need = np.ceil(both * np.float32(share) - np.float32(1e-4)).astype(np.int32)
+        need = np.ceil(both * share - 1e-9).astype(np.int32)
         ok = np.flatnonzero(np.minimum(n[i] - pos[i], j_n[j] - j_pos[j]) >= need)  # positional filter
         i, j, slack = i[ok], j[ok], both[ok] - 2 * need[ok]
         ok = np.flatnonzero(np.bitwise_count(parity[doc[i]] ^ j_parity[j]) <= slack)  # suffix filter
         i, j = i[ok], j[ok]
-        x, y = whole[doc[i]].astype(np.float32), j_whole[j]
-        ok = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-3  # length filter
+        x, y = whole[doc[i]].astype(np.float64), j_whole[j]
+        ok = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9  # length filter
         p, q = code[doc[i[ok]]], code[j_doc[j[ok]]]
         pair = np.minimum(p, q).astype(np.int64) * len(names) + np.maximum(p, q)
         found.append(np.unique(pair[p != q]))
