@@ -10,7 +10,7 @@ On a corpus of recurring phrases that alone leaves too many candidates, so sets
 first projected on ``BUCKETS`` parts of the shingle space. If the whole sets reach
 |x & y| >= t/(1+t) (|x|+|y|), so do their projections on at least one part, as both sides
 add up over the parts. It is therefore enough to join the projections, each with its
-own prefix, and the suffix filter becomes cheap: a 64-bit parity sketch of each
+own prefix, and the suffix filter becomes cheap: a 128-bit parity sketch of each
 projection bounds the size of their symmetric difference from below. No filter loses a
 pair. Candidates are made distinct and verified once on the whole sets.
 
@@ -28,24 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.words import WORD
 from tessella.session import materialize
 
-BUCKETS = 16
+BUCKETS = 8
 SKETCH_BITS, SKETCH_ROWS = 19, 2
 ONE, ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 
-class Memo(dict):
-    """Word hashes; emptied when it grows large."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (the finalizer of MurmurHash3)."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -53,36 +42,97 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str, size: int, memo: Memo) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of runs of ``size`` words (letters and digits, case ignored)."""
-    found = WORD.findall(text.lower())
-    if len(found) < size:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
-    out = h[: len(h) - size + 1].copy()
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+CHUNK_CHARS = 1 << 19
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_word_chars: list[np.ndarray] = []
+
+
+def _hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of every word of some texts: runs of letters and digits, case ignored.
+
+    A word's hash is a polynomial in its characters modulo 2^64, read off running sums.
+    """
+    if not _word_chars:
+        _word_chars.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    low = [t.lower() for t in texts]
+    starts = np.cumsum([0, *[len(t) + 1 for t in low]])
+    chars = np.frombuffer(" ".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    room = 1 << max(19, int(len(chars)).bit_length())
+    if room not in _tables:
+        _tables.clear()
+        _tables[room] = (_powers(int(ODD), room), _powers(pow(int(ODD), -1, 1 << 64), room))
+    up, down = _tables[room]
+    edges = np.flatnonzero(np.diff(_word_chars[0][chars].astype(np.int8), prepend=np.int8(0)))  # texts end with a blank
+    first, last = edges[::2], edges[1::2]
+    sums = np.cumsum(chars * up[: len(chars)], dtype=np.uint64)
+    before = np.where(first > 0, sums[first - 1], np.uint64(0))
+    return np.searchsorted(starts, first, "right") - 1, mix((sums[last - 1] - before) * down[first])
+
+
+def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its runs of ``size`` words."""
+    doc, h = _hashed_words(texts)
+    n = max(0, len(h) - size + 1)
+    out = h[:n].copy()
     for i in range(1, size):
-        out = out * ODD + h[i : len(h) - size + 1 + i]
-    return np.unique(mix(out))
+        out = out * ODD + h[i : n + i]
+    own = doc[:n] == doc[size - 1 :] if n else np.empty(0, bool)
+    out, doc = mix(out[own]), doc[:n][own]
+    edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+    sets = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        x = np.sort(out[a:b])
+        sets.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if b > a else x)
+    return sets
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about CHUNK_CHARS characters; a longer text is a chunk of its own."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > CHUNK_CHARS:
+            yield first, texts[first:i]
+            first, held = i, 0
+        held += len(t) + 1
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as byte planes of their differences, which compress."""
+    steps = values.copy()
+    steps[1:] -= values[:-1]
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def shingled(texts: DataFrame, doc_id: Column, text: Column, size: int) -> DataFrame:
-    """(doc_id, class, n, grams): the class is a 128-bit hash of the shingle set, grams its sorted 32-bit values.
+    """(doc_id, class, n, grams): the class is a 128-bit hash of the shingle set, grams its sorted 32-bit values, packed.
 
     Null texts and those of fewer than ``size`` words have no shingles and are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for batch in batches:
             keep, keys, sizes, grams = [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                own = shingles(t, size, memo)
-                if len(own):
-                    small = np.unique((own >> np.uint64(32)).astype(np.uint32))
-                    keep.append(i)
-                    keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    sizes.append(len(small))
-                    grams.append(small.tobytes())
+            for first, some in _chunks(batch.column(1).to_pylist()):
+                for i, own in enumerate(shingle_sets(some, size), first):
+                    if len(own):
+                        small = (own >> np.uint64(32)).astype(np.uint32)
+                        small = small[np.concatenate([[True], small[1:] != small[:-1]])]
+                        keep.append(i)
+                        keys.append(xxhash.xxh3_128_digest(own.tobytes()))
+                        sizes.append(len(small))
+                        grams.append(pack(small))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(grams, pa.binary())], names=["doc_id", "class", "n", "grams"])
 
     return texts.select(doc_id.cast("string").alias("doc_id"), text.alias("t")).where("doc_id is not null and t is not null").mapInArrow(run, "doc_id string, class binary, n int, grams binary")
@@ -111,7 +161,7 @@ def frequencies(sets: DataFrame, tasks: int) -> np.ndarray:
             for key, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if key not in seen:
                     seen.add(key)
-                    new.append(np.frombuffer(grams, np.uint32))
+                    new.append(unpack(grams))
             if new:
                 for row, cells in zip(total, _cells(np.concatenate(new)), strict=True):
                     row += np.bincount(cells, minlength=len(row))
@@ -139,6 +189,11 @@ def _least(sizes: np.ndarray, share: float) -> np.ndarray:
     return np.ceil(sizes * share - 1e-9).astype(np.int64)
 
 
+def _indexed(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """The length of the prefix that must be found by sets of at least the same size."""
+    return sizes - _least(sizes, 2 * threshold / (1 + threshold)) + 1
+
+
 def postings(sets: DataFrame, counts: object, threshold: float, spread: int, hot: int) -> DataFrame:
     """(part, block): packed prefixes of the projections, each class once per task.
 
@@ -154,7 +209,7 @@ def postings(sets: DataFrame, counts: object, threshold: float, spread: int, hot
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sets_.append(np.frombuffer(grams, np.uint32))
+                    sets_.append(unpack(grams))
             if keys:
                 yield pa.RecordBatch.from_pydict(_blocks(keys, sets_, sketch, threshold, spread, hot), schema=pa.schema([("part", pa.int32()), ("block", pa.binary())]))
 
@@ -173,15 +228,17 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
     gram, count, h, cell = gram[order], count[order], h[order], cell[order]
     start = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
     size = np.diff(np.concatenate([start, [len(cell)]]))
-    parity = np.bitwise_xor.reduceat(ONE << ((h >> np.uint64(8)) & np.uint64(63)), start)
+    bit = ONE << ((h >> np.uint64(8)) & np.uint64(63))
+    half = (h >> np.uint64(14)) & ONE
+    parity = np.stack([np.bitwise_xor.reduceat(np.where(half == x, bit, np.uint64(0)), start) for x in (0, 1)], axis=1)
     pos = np.arange(len(cell)) - np.repeat(start, size)
     own = np.repeat(np.arange(len(start)), size)  # the projection of each posting
     probe = pos < (size - _least(size, threshold) + 1)[own]
-    index = pos < (size - _least(size, 2 * threshold / (1 + threshold)) + 1)[own]
+    index = pos < _indexed(size, threshold)[own]
     keep = np.flatnonzero(probe & (count > 1))  # a gram counted once occurs once
     gram, count, own, pos, index = gram[keep], count[keep], own[keep], pos[keep], index[keep]
     part = (cell[start] % BUCKETS)[own] + BUCKETS * ((mix(gram.astype(np.uint64) ^ ODD) % np.uint64(spread)).astype(np.int64))
-    role = np.where(index, 3, 1).astype(np.uint8)
+    role = usual = np.where(index, 3, 1).astype(np.uint8)
     much = np.flatnonzero(count > hot)
     if len(much):  # salted: a copy of the indexed entry for each salt, the probing one in its own
         salts = np.minimum(-(-count[much].astype(np.int64) // hot), spread)
@@ -195,74 +252,90 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
         rest = np.setdiff1d(np.arange(len(gram)), much, assume_unique=True)
         pick = np.concatenate([rest, copy[use]])
         part, role = np.concatenate([part[rest], copy_part[use]]), np.concatenate([role[rest], copy_role[use]])
-        gram, own, pos = gram[pick], own[pick], pos[pick]
+        gram, own, pos, usual = gram[pick], own[pick], pos[pick], usual[pick]
     out: dict[str, list] = {"part": [], "block": []}
     order = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(order) else np.array([0])
     key_bytes = np.frombuffer(b"".join(keys), "V16")
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         at = order[a:b]
-        used, local = np.unique(own[at], return_inverse=True)
+        at = at[np.argsort(own[at], kind="stable")]
+        used, entries = np.unique(own[at], return_counts=True)
         docs = cell[start[used]] // BUCKETS
-        wide = np.uint32 if len(pos) and pos[at].max() > 65535 or len(used) > 65535 else np.uint16
-        head = np.array([len(used), len(at), np.dtype(wide).itemsize], np.int64)
-        fields = (head, key_bytes[docs], whole[docs].astype(np.uint32), size[used].astype(np.uint32), parity[used], gram[at], local.astype(wide), pos[at].astype(wide), role[at])
+        most = max(int(pos[at].max()), int(entries.max()))
+        wide = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
+        salted = bool((role[at] != usual[at]).any())
+        head = np.array([len(used), len(at), np.dtype(wide).itemsize, salted], np.int64)
+        fields = (head, key_bytes[docs], whole[docs].astype(np.uint32), size[used].astype(np.uint32), parity[used], entries.astype(wide), gram[at], pos[at].astype(wide), *([role[at]] if salted else []))
         out["part"].append(int(part[order[a]]))
         out["block"].append(b"".join(x.tobytes() for x in fields))
     return out
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    docs, entries, width = np.frombuffer(block, np.int64, 3)
-    at, out = 24, []
-    wide = np.uint16 if width == 2 else np.uint32
-    for kind, n in (("V16", docs), (np.uint32, docs), (np.uint32, docs), (np.uint64, docs), (np.uint32, entries), (wide, entries), (wide, entries), (np.uint8, entries)):
+def _unpack(block: bytes, threshold: float) -> tuple[np.ndarray, ...]:
+    """Keys, whole sizes, sizes, parities; then per entry gram, place, role and number of its text."""
+    docs, entries, width, salted = np.frombuffer(block, np.int64, 4)
+    at, out = 32, []
+    wide = {1: np.uint8, 2: np.uint16, 4: np.uint32}[int(width)]
+    for kind, n in (("V16", docs), (np.uint32, docs), (np.uint32, docs), (np.uint64, 2 * docs), (wide, docs), (np.uint32, entries), (wide, entries), (np.uint8, entries if salted else 0)):
         out.append(np.frombuffer(block, kind, n, at))
         at += np.dtype(kind).itemsize * int(n)
-    return tuple(out)
+    key, whole, size, parity, held, gram, pos, role = out
+    local = np.repeat(np.arange(docs), held.astype(np.int64))
+    if not salted:
+        role = np.where(pos < _indexed(size, threshold)[local], 3, 1).astype(np.uint8)
+    return key, whole, size, parity.reshape(-1, 2), gram, pos.astype(np.int32), role, local
 
 
 def joined(blocks: list[bytes], threshold: float, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """The classes of candidate pairs of one partition, each pair once, by all filters."""
-    parts = [_unpack(b) for b in blocks]
+    parts = [_unpack(b, threshold) for b in blocks]
     key = np.concatenate([p[0] for p in parts])
     base = np.cumsum([0, *[len(p[0]) for p in parts]])
     names, first, code = np.unique(key, return_index=True, return_inverse=True)
-    whole, size, parity = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-    gram, pos, role = (np.concatenate([p[i] for p in parts]) for i in (4, 6, 7))
-    doc = np.concatenate([p[5].astype(np.int64) + b for p, b in zip(parts, base[:-1], strict=True)])
+    whole, size = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    gram, pos, role = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+    doc = np.concatenate([p[7] + b for p, b in zip(parts, base[:-1], strict=True)])
     mine = first[code[doc]] == doc  # a class sent by several tasks counts once
-    gram, pos, role, doc = gram[mine], pos[mine].astype(np.int32), role[mine], doc[mine]
+    gram, pos, role, doc = gram[mine], pos[mine], role[mine], doc[mine]
     n = size[doc].astype(np.int32)
     order = np.lexsort((code[doc], n, gram))
     gram, pos, role, doc, n = gram[order], pos[order], role[order], doc[order], n[order]
     rank = np.arange(len(gram))
     indexed, probes = np.flatnonzero(role & 2), np.flatnonzero(role & 1)
+    share = threshold / (1 + threshold)
+    # room: the largest joint size that the rest of a set, from a place on, can still reach the threshold with
+    room = np.floor((n - pos + 1e-9) / share).astype(np.int64)
     place = gram.astype(np.int64) << 31
-    # an indexed entry before the probe in (gram, size, class) order, of at least t times its size
+    # an indexed entry before the probe in (gram, size, class) order, of at least t times its size, and not too large for its place
     low = np.searchsorted((place + n)[indexed], place[probes] + _least(n[probes].astype(np.float64), threshold), "left")
-    high = np.searchsorted(rank[indexed], probes, "left")
+    high = np.minimum(np.searchsorted(rank[indexed], probes, "left"), np.searchsorted((place + n)[indexed], place[probes] + np.maximum(room[probes] - n[probes], 0), "right"))
     todo = high - low
-    probes, low, todo = probes[todo > 0], low[todo > 0], todo[todo > 0]
-    j_n, j_pos, j_doc = n[indexed], pos[indexed], doc[indexed]
-    j_parity, j_whole = parity[j_doc], whole[j_doc].astype(np.float64)
+    some = todo > 0
+    probes, low, todo = probes[some], low[some].astype(np.int32), todo[some]
+    j_doc = doc[indexed].astype(np.int32)
+    narrow = np.int16 if len(n) and n.max() < 16000 else np.int32
+    j_most = np.minimum(room[indexed] - n[indexed], np.iinfo(narrow).max).astype(narrow)  # the largest probe an entry has room for
+    i_size, i_doc = n[probes].astype(narrow), doc[probes].astype(np.int32)
+    parity = np.concatenate([p[3] for p in parts])
+    one, two = np.ascontiguousarray(parity[:, 0]), np.ascontiguousarray(parity[:, 1])
     ends = np.cumsum(todo)
     found, a = [], 0
-    share = threshold / (1 + threshold)
     while a < len(probes):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chunk, "right")))
-        some = todo[a:b]
-        i = np.repeat(probes[a:b], some)
-        j = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(low[a:b], some)
-        both = n[i] + j_n[j]
-        need = np.ceil(both * share - 1e-9).astype(np.int32)
-        ok = np.flatnonzero(np.minimum(n[i] - pos[i], j_n[j] - j_pos[j]) >= need)  # positional filter
-        i, j, slack = i[ok], j[ok], both[ok] - 2 * need[ok]
-        ok = np.flatnonzero(np.bitwise_count(parity[doc[i]] ^ j_parity[j]) <= slack)  # suffix filter
+        count = todo[a:b]
+        j = np.arange(count.sum(), dtype=np.int32) + np.repeat(low[a:b] - (np.cumsum(count) - count).astype(np.int32), count)
+        ok = np.flatnonzero(j_most[j] >= np.repeat(i_size[a:b], count))  # positional filter
+        j = j_doc[j[ok]]
+        i = i_doc[a + np.searchsorted(np.cumsum(count), ok, "right")]
+        both = size[i].astype(np.int64) + size[j]
+        slack = both - 2 * np.ceil(both * share - 1e-9).astype(np.int64)
+        apart = np.bitwise_count(one[i] ^ one[j]).astype(np.int64) + np.bitwise_count(two[i] ^ two[j])
+        ok = np.flatnonzero(apart <= slack)  # suffix filter
         i, j = i[ok], j[ok]
-        x, y = whole[doc[i]].astype(np.float64), j_whole[j]
+        x, y = whole[i].astype(np.float64), whole[j].astype(np.float64)
         ok = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9  # length filter
-        p, q = code[doc[i[ok]]], code[j_doc[j[ok]]]
+        p, q = code[i[ok]], code[j[ok]]
         pair = np.minimum(p, q).astype(np.int64) * len(names) + np.maximum(p, q)
         found.append(np.unique(pair[p != q]))
         a = b
@@ -296,7 +369,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, most_broadcast
         for batch in batches:
             sims = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                p, q = unpack(x), unpack(y)
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 sims.append(same / (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
