@@ -10,7 +10,7 @@ On a corpus of recurring phrases that alone leaves too many candidates, so sets
 first projected on ``BUCKETS`` parts of the shingle space. If the whole sets reach
 |x & y| >= t/(1+t) (|x|+|y|), so do their projections on at least one part, as both sides
 add up over the parts. It is therefore enough to join the projections, each with its
-own prefix, and the suffix filter becomes cheap: a 128-bit parity sketch of each
+own prefix, and the suffix filter becomes cheap: a parity sketch of each
 projection bounds the size of their symmetric difference from below. No filter loses a
 pair. Candidates are made distinct and verified once on the whole sets.
 
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tessella.session import materialize
 
 BUCKETS = 8
+#: 64-bit words of a parity sketch.
+WORDS = 4
 SKETCH_BITS, SKETCH_ROWS = 19, 2
 ONE, ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
@@ -229,8 +231,8 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
     start = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
     size = np.diff(np.concatenate([start, [len(cell)]]))
     bit = ONE << ((h >> np.uint64(8)) & np.uint64(63))
-    half = (h >> np.uint64(14)) & ONE
-    parity = np.stack([np.bitwise_xor.reduceat(np.where(half == x, bit, np.uint64(0)), start) for x in (0, 1)], axis=1)
+    half = (h >> np.uint64(14)) % np.uint64(WORDS)
+    parity = np.stack([np.bitwise_xor.reduceat(np.where(half == x, bit, np.uint64(0)), start) for x in range(WORDS)], axis=1)
     pos = np.arange(len(cell)) - np.repeat(start, size)
     own = np.repeat(np.arange(len(start)), size)  # the projection of each posting
     probe = pos < (size - _least(size, threshold) + 1)[own]
@@ -262,29 +264,36 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
         at = at[np.argsort(own[at], kind="stable")]
         used, entries = np.unique(own[at], return_counts=True)
         docs = cell[start[used]] // BUCKETS
-        most = max(int(pos[at].max()), int(entries.max()))
-        wide = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
+        wide, large = _narrow(max(int(pos[at].max()), int(size[used].max()))), _narrow(int(whole[docs].max()))
         salted = bool((role[at] != usual[at]).any())
-        head = np.array([len(used), len(at), np.dtype(wide).itemsize, salted], np.int64)
-        fields = (head, key_bytes[docs], whole[docs].astype(np.uint32), size[used].astype(np.uint32), parity[used], entries.astype(wide), gram[at], pos[at].astype(wide), *([role[at]] if salted else []))
+        head = np.array([len(used), len(at), np.dtype(wide).itemsize, np.dtype(large).itemsize, salted], np.int64)
+        fields = (head, key_bytes[docs], whole[docs].astype(large), size[used].astype(wide), parity[used], entries.astype(wide), gram[at], pos[at].astype(wide), *([role[at]] if salted else []))
         out["part"].append(int(part[order[a]]))
         out["block"].append(b"".join(x.tobytes() for x in fields))
     return out
 
 
+WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+
+
+def _narrow(most: int) -> type:
+    return np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+
+
 def _unpack(block: bytes, threshold: float) -> tuple[np.ndarray, ...]:
     """Keys, whole sizes, sizes, parities; then per entry gram, place, role and number of its text."""
-    docs, entries, width, salted = np.frombuffer(block, np.int64, 4)
-    at, out = 32, []
-    wide = {1: np.uint8, 2: np.uint16, 4: np.uint32}[int(width)]
-    for kind, n in (("V16", docs), (np.uint32, docs), (np.uint32, docs), (np.uint64, 2 * docs), (wide, docs), (np.uint32, entries), (wide, entries), (np.uint8, entries if salted else 0)):
+    docs, entries, width, larger, salted = np.frombuffer(block, np.int64, 5)
+    at, out = 40, []
+    wide, large = WIDTHS[int(width)], WIDTHS[int(larger)]
+    for kind, n in (("V16", docs), (large, docs), (wide, docs), (np.uint64, WORDS * docs), (wide, docs), (np.uint32, entries), (wide, entries), (np.uint8, entries if salted else 0)):
         out.append(np.frombuffer(block, kind, n, at))
         at += np.dtype(kind).itemsize * int(n)
     key, whole, size, parity, held, gram, pos, role = out
+    whole, size = whole.astype(np.uint32), size.astype(np.int64)
     local = np.repeat(np.arange(docs), held.astype(np.int64))
     if not salted:
         role = np.where(pos < _indexed(size, threshold)[local], 3, 1).astype(np.uint8)
-    return key, whole, size, parity.reshape(-1, 2), gram, pos.astype(np.int32), role, local
+    return key, whole, size, parity.reshape(-1, WORDS), gram, pos.astype(np.int32), role, local
 
 
 def joined(blocks: list[bytes], threshold: float, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +327,7 @@ def joined(blocks: list[bytes], threshold: float, chunk: int = 1 << 21) -> tuple
     j_most = np.minimum(room[indexed] - n[indexed], np.iinfo(narrow).max).astype(narrow)  # the largest probe an entry has room for
     i_size, i_doc = n[probes].astype(narrow), doc[probes].astype(np.int32)
     parity = np.concatenate([p[3] for p in parts])
-    one, two = np.ascontiguousarray(parity[:, 0]), np.ascontiguousarray(parity[:, 1])
+    sketch = [np.ascontiguousarray(parity[:, w]) for w in range(WORDS)]
     ends = np.cumsum(todo)
     found, a = [], 0
     while a < len(probes):
@@ -330,9 +339,10 @@ def joined(blocks: list[bytes], threshold: float, chunk: int = 1 << 21) -> tuple
         i = i_doc[a + np.searchsorted(np.cumsum(count), ok, "right")]
         both = size[i].astype(np.int64) + size[j]
         slack = both - 2 * np.ceil(both * share - 1e-9).astype(np.int64)
-        apart = np.bitwise_count(one[i] ^ one[j]).astype(np.int64) + np.bitwise_count(two[i] ^ two[j])
-        ok = np.flatnonzero(apart <= slack)  # suffix filter
-        i, j = i[ok], j[ok]
+        for word in sketch:  # suffix filter: differences counted so far already exceed the slack
+            slack = slack - np.bitwise_count(word[i] ^ word[j])
+            ok = np.flatnonzero(slack >= 0)
+            i, j, slack = i[ok], j[ok], slack[ok]
         x, y = whole[i].astype(np.float64), whole[j].astype(np.float64)
         ok = np.minimum(x, y) >= threshold * np.maximum(x, y) - 1e-9  # length filter
         p, q = code[i[ok]], code[j[ok]]
@@ -358,7 +368,7 @@ def candidates(blocks: DataFrame, threshold: float, parts: int) -> DataFrame:
     return blocks.repartitionById(parts, F.col("part")).mapInArrow(run, "a binary, b binary").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float, most_broadcast: int = 200_000) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, most_broadcast: int = 50_000) -> DataFrame:
     """(a, b, similarity) of the pairs that reach the threshold on their whole sets."""
     ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     few = ends.limit(most_broadcast + 1).count() <= most_broadcast
@@ -377,7 +387,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, most_broadcast
     return full.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold - 1e-12)
 
 
-def near_duplicates(texts: DataFrame, *, doc_id: Column, text: Column, size: int = 5, threshold: float = 0.8, hot: int = 20_000, part_grams: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, *, doc_id: Column, text: Column, size: int = 5, threshold: float = 0.8, hot: int = 20_000, part_grams: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of classes (a, b, similarity) with Jaccard similarity >= threshold, and (class, doc_id).
 
     Every pair of different shingle sets that reaches the threshold is found. Texts with equal sets share
