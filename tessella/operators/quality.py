@@ -84,6 +84,10 @@ def rolling_rate(samples: DataFrame, time: str, value: str, window: int = 30, gr
     return step.withColumn("rate", F.try_divide(F.sum("_dv").over(last), F.sum("_dt").over(last))).drop("_dt", "_dv")
 
 
+def _outside(allowed: tuple[str, ...]):  # noqa: ANN202
+    return lambda x: x.isNotNull() & (x["citation_context"].isNull() | ~x["citation_context"].isin(*allowed))
+
+
 def scorecard(rows: DataFrame, group: str, texts: dict[str, Column], lists: dict[str, Column], dates: Column, enums: dict[str, tuple[Column, tuple[str, ...]]], prose: Column) -> DataFrame:
     """Per group: fill rates, mean list sizes, misshapen dates, invalid enum values and prose that looks foreign, in one pass."""
     native = prose.rlike(r"(?iuU)[ãõçáéíóúâêôà]|\b(?:de|que|não|para|com|uma|dos|das)\b")
@@ -92,7 +96,7 @@ def scorecard(rows: DataFrame, group: str, texts: dict[str, Column], lists: dict
         *[F.round(F.avg(text.not_blank(c, "string").cast("double")), 4).alias(f"fill_{n}") for n, c in texts.items()],
         *[F.round(F.avg(F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0))), 4).alias(f"mean_{n}") for n, c in lists.items()],
         F.count_if(dates.isNotNull() & ~dates.rlike(r"^\d{4}-\d{2}-\d{2}$")).alias("bad_dates"),
-        *[F.sum(F.coalesce(F.size(F.filter(c, lambda x, ok=ok: x.isNotNull() & (x["citation_context"].isNull() | ~x["citation_context"].isin(*ok)))), F.lit(0)) * c.isNotNull().cast("int")).alias(f"bad_{n}") for n, (c, ok) in enums.items()],
+        *[F.sum(F.coalesce(F.size(F.filter(c, _outside(ok))), F.lit(0)) * c.isNotNull().cast("int")).alias(f"bad_{n}") for n, (c, ok) in enums.items()],
         F.count_if(prose.isNotNull() & ~native).alias("foreign"),
     )
 
