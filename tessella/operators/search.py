@@ -68,14 +68,23 @@ def vector_top(docs: DataFrame, name: str, query: list[float], k: int) -> DataFr
     return rows.orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def ranked_lists(lists: dict[str, DataFrame]) -> DataFrame:
-    """(source, place, doc_id, score, rank): ranks from 1 within each source; the lists are short."""
-    out = None
-    for i, (source, rows) in enumerate(lists.items()):
-        one = rows.select(F.lit(source).alias("source"), F.lit(i).alias("place"), "doc_id", "score")
-        out = one if out is None else out.unionByName(one)
+def vector_lists(docs: DataFrame, names: list[str], query: list[float], k: int) -> DataFrame:
+    """(source, place, doc_id, score, rank): the top k of several vector fields by one scan.
+
+    The fields' scores are put in long form and ranked per field; Spark keeps only k rows of each
+    field in every partition before anything is shuffled (a window group limit).
+    """
+    scores = [F.struct(F.lit(n).alias("source"), F.lit(SOURCES.index(n)).alias("place"), F.round(cosine(F.col(n), query), 7).alias("score")) for n in names]
+    rows = docs.select("doc_id", F.explode(F.array(*scores)).alias("x")).select("x.source", "x.place", "doc_id", "x.score").where("score is not null")
+    by_score = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+
+
+def ranked_list(source: str, rows: DataFrame) -> DataFrame:
+    """(source, place, doc_id, score, rank) of one short list of (doc_id, score); ties go by doc_id."""
     by_score = Window.partitionBy("source").orderBy(F.desc("score"), "doc_id")
-    return out.withColumn("rank", F.row_number().over(by_score))
+    one = rows.select(F.lit(source).alias("source"), F.lit(SOURCES.index(source)).alias("place"), "doc_id", "score")
+    return one.withColumn("rank", F.row_number().over(by_score))
 
 
 def fuse(ranks: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
@@ -103,12 +112,15 @@ def search(docs: DataFrame, request: SearchRequest, mode: str = "hybrid", *, vec
         vector = embed(sem)  # type: ignore[operator]
     kept = docs.where(request.filters.predicate())
     fetch = request.limit * request.overfetch
-    lists = {s: vector_top(kept, s, vector, fetch) for s in used if s != "fts"}
+    ranks = None
+    if vectors := [s for s in used if s != "fts"]:
+        ranks = vector_lists(kept, vectors, vector, fetch)
     if "fts" in used:
         text = F.concat_ws(" ", "summary", "legal_domain", "process_number")
-        lists["fts"] = fts.ranked(kept, text, kw, fetch, cap=cap, stemmed=stemmed)
+        found = ranked_list("fts", fts.ranked(kept, text, kw, fetch, cap=cap, stemmed=stemmed))
+        ranks = found if ranks is None else ranks.unionByName(found)
     weights = dict.fromkeys(used, 1.0) if mode == "fts" else {s: request.weights[s] for s in used}
-    fused = fuse(ranked_lists(lists), weights, request.rrf_k)
+    fused = fuse(ranks, weights, request.rrf_k)
     order = [F.desc(F.round("score", 12)), F.col("first.place"), F.col("first.rank")]
     top = fused.orderBy(*order).limit(request.limit).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))  # at most 100 rows
     found = hydrate(top.select("place", "doc_id", "score", "ranks", "scores"), docs)

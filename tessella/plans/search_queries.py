@@ -64,18 +64,16 @@ def h2_vector_top(spark: SparkSession, folder: str) -> DataFrame:
     return search.vector_top(kept, "embedding", stored_vector(spark, folder, QUERY_VECTOR), 80)
 
 
-def _lists(spark: SparkSession, folder: str, k: int) -> dict[str, DataFrame]:
-    docs, q = _vectors(spark, folder), stored_vector(spark, folder, QUERY_VECTOR)
-    return {f: search.vector_top(docs, f, q, k) for f in VECTOR_FIELDS}
+def _ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return search.vector_lists(_vectors(spark, folder), list(VECTOR_FIELDS), stored_vector(spark, folder, QUERY_VECTOR), 40)
 
 
 def h3_fan_out(spark: SparkSession, folder: str) -> DataFrame:
-    ranks = search.ranked_lists(_lists(spark, folder, 40))
-    return ranks.select("source", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+    return _ranks(spark, folder).select("source", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
 def h5_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    fused = search.fuse(search.ranked_lists(_lists(spark, folder, 40)), {"embedding": 2.0, "embedding_context": 1.0, "embedding_ratio": 0.5}, 50)
+    fused = search.fuse(_ranks(spark, folder), {"embedding": 2.0, "embedding_context": 1.0, "embedding_ratio": 0.5}, 50)
     return fused.select("doc_id", F.round("score", 9).alias("score"), *[F.col("ranks")[s].cast("bigint").alias(f"rank_{s}") for s in VECTOR_FIELDS])
 
 
