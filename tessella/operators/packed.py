@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 QUOTED = re.compile(r'"(?:[^"]|"")*"|«[^«»]*»|“[^“”]*”')
 MARK = re.compile(r"^\s*(?:[-–—*•·▪◦]+\s+|\(?\d{1,3}[.)]\s+|[•·▪◦]+\s*)+")
+LONE_MARK = re.compile(r"[-–—*•]+")
 PRIVATE = (0xE000, 0xF8FF)
 
 
@@ -52,9 +53,11 @@ def split_phrases(text: str | None) -> list[str]:
         piece = MARK.sub("", piece).strip()
         if m := whole.fullmatch(piece):
             piece = unquote(spans[int(m[1])]).strip()
+        elif LONE_MARK.fullmatch(piece):
+            continue
         else:
             piece = whole.sub(lambda m: spans[int(m[1])], piece).strip()
-        if piece and not re.fullmatch(r"[-–—*•]+", piece):
+        if piece:
             out.append(piece)
     return out
 
