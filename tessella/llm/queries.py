@@ -77,5 +77,20 @@ def queries() -> dict:
     }
 
 
+_SHINGLES = """
+w as (select distinct doc_id, regexp_extract_all(lower(full_text), '[\\p{L}\\p{N}]+') as w from raw_docs where doc_id is not null),
+s as (select distinct doc_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s from w where len(w) >= 3),
+n as (select doc_id, count(*) as n from s group by 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose definition it can state; the others are tested against brute force."""
+    fold = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
+    windows = "select distinct {k}, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) as g from (select {k}, {f} as w from {t}) where len(w) >= 12"
+    letters = "len(regexp_extract_all({c}, '\\p{{L}}+'))"
+    return {
+        "p5_found": f"with {_SHINGLES} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.s = b.s and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= 0.6 * (x.n + y.n - count(*))",
+        "p6_found": f"with d as ({windows.format(k='doc_id', f=fold.format(c='text'), t='documents')}), e as ({windows.format(k='item_id', f=fold.format(c='text'), t='eval_items')}) select distinct doc_id, item_id from d join e on d.g = e.g",
+        "p8_found": f"with m as (select doc_id, {letters.format(c='text')} as n, len(regexp_extract_all(text, '\\p{{L}}{{7,}}')) as l, len(list_filter(regexp_split_to_array(text, '[.!?…]+(\\s|$)|\\n[^\\S\\n]*\\n|\\r\\n[^\\S\\n]*\\r\\n'), lambda p: regexp_matches(p, '\\p{{L}}'))) as s from documents), b as (select doc_id, case when n <= 12 * s and l <= 0.3 * n then 'easy' when n >= 30 * s and l >= 0.4 * n then 'hard' end as reading_band from m where n > 0) select * from b where reading_band is not null",
+    }
