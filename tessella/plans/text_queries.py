@@ -252,6 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "T8_table": f"with {S}, t as (select strip_accents(lower(coalesce(metadata->>'procedural_type', ''))) as p, strip_accents(lower(coalesce(metadata->>'case_type', ''))) as c from s) select count(*) filter (regexp_matches(p, 'unifor[a-z]{{0,6}}zacao|fixacao\\s+de\\s+jurispr|fixar\\s+jurispr|uniformizador') or regexp_matches(c, 'unifor[a-z]{{0,6}}zacao|fixacao\\s+de\\s+jurispr|fixar\\s+jurispr|uniformizador')) as unifying, count(*) as total from t",
         "T9_dates": f"select input, result::date as result from ({gold(DATES)})",
         "T9_table": "select " + iso.format(c="decision_date", f="%m/%d/%Y") + " as day, count(*) as n from jurisprudence_cited where decision_date is not null group by 1",
+        "T12_any_date": "select coalesce(try_strptime(trim(decision_date), '%Y-%m-%d'), try_strptime(trim(decision_date), '%d/%m/%Y'), try_strptime(trim(decision_date), '%d-%m-%Y'))::date as day, count(*) as n from jurisprudence_cited where decision_date is not null group by 1",
         "T10_headers": "select doc_id, nullif(trim(process_number), '') as process, court_short as judge, null::varchar as none from documents where process_number is not null and text is not null",
         "T13_sizes": gold(SIZES), "T13_times": gold(TIMES),
         "X1_decode": _values([(b.hex(), r) for b, r in BYTES], "input, result"), "X2_visible_text": gold(PAGES), "X4_url_ids": gold(URLS),
