@@ -27,6 +27,11 @@ KINDS = {
 }
 OPENINGS = {"codigo": ("codigo", "cod", "c"), "estatuto": ("estatuto", "est"), "regulamento": ("regulamento", "regul", "reg", "rego", "reg o"), "regime": ("regime", "reg", "rego", "reg o")}
 FILLERS = frozenset("de da do das dos e a o as os em no na nos nas sobre ao aos".split())
+# Words that stand around a name and do not count against a likeness.
+AROUND = FILLERS | frozenset(
+    "novo nova actual atual antigo antiga artigo artigos art arts numero num ao abrigo nos termos disposto versao consolidada redacao dada aprovado aprovada por pelo pela lei especial cit citado citada referido referida doravante vigente vigor "
+    "revisto alterado rectificado rectificada conforme segundo presente janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro".split()
+)
 #: Two-digit years from here on belong to the last century, the others to this one up to YOUNGEST.
 OLDEST, YOUNGEST = 79, 24
 
@@ -53,17 +58,23 @@ def normal(text: str) -> str:
 
 
 def distance(a: str, b: str) -> int:
-    """Edits from a to b: insert, delete, replace, or swap neighbours."""
-    two, one = [], list(range(len(b) + 1))
+    """Edits from a to b: insert, delete, replace, or swap two letters, also where letters were put or lost between them."""
+    far = len(a) + len(b)
+    row: dict[str, int] = {}  # the last row in which a letter of a was seen
+    cost = [[far] * (len(b) + 2) for _ in range(len(a) + 2)]
+    for i in range(len(a) + 1):
+        cost[i + 1][1] = i
+    for j in range(len(b) + 1):
+        cost[1][j + 1] = j
     for i, x in enumerate(a, 1):
-        now = [i]
+        seen = 0
         for j, y in enumerate(b, 1):
-            cost = min(one[j] + 1, now[-1] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                cost = min(cost, two[j - 2] + 1)
-            now.append(cost)
-        two, one = one, now
-    return one[-1]
+            k, m = row.get(y, 0), seen
+            if x == y:
+                seen = j
+            cost[i + 1][j + 1] = min(cost[i][j] + (x != y), cost[i + 1][j] + 1, cost[i][j + 1] + 1, cost[k][m] + (i - k - 1) + 1 + (j - m - 1))
+        row[x] = i
+    return cost[-1][-1]
 
 
 def alike(a: str, b: str, least: float) -> float:
@@ -85,6 +96,8 @@ class Gazetteer:
     entries: list[tuple[int, str, str | None, str | None, int | None]]
     token_least: float = 0.7
     whole_least: float = 0.88
+    loose_least: float = 0.6
+    share_least: float = 0.86
     _made: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -114,7 +127,7 @@ class Gazetteer:
             auto.add_word(pattern, (len(pattern), what))
         auto.make_automaton()
         vocabulary = sorted({t for _, _, content in names for t in content})
-        return {"auto": auto, "acts": acts, "names": names, "vocabulary": vocabulary, "near": {}}
+        return {"auto": auto, "acts": acts, "names": names, "vocabulary": vocabulary, "words": frozenset(vocabulary), "near": {}}
 
     def mentions(self, s: str) -> list[tuple[int, int, str, object]]:
         """Longest mentions that do not overlap, in order."""
@@ -149,30 +162,36 @@ class Gazetteer:
         if token not in memo:
             if len(memo) > 200_000:
                 memo.clear()
-            memo[token] = {v: x for v in self._made["vocabulary"] if (x := alike(token, v, self.token_least))}
+            memo[token] = {v: x for v in self._made["vocabulary"] if (x := alike(token, v, self.loose_least))}
         return memo[token]
 
     def similar(self, s: str) -> int:
         """Token-set similarity: every content word of the entry has its own like word in the value.
 
-        Where that fails by a word, the whole strings must be very much alike. The largest
-        share of likeness in both word sets wins, ties go to the lower id.
+        The words must be alike by ``token_least``, and the shared part of both word sets, without words that usually
+        stand around a name, must reach ``share_least``, so that a further word makes another name; or they are alike by
+        ``loose_least`` and the whole strings by ``whole_least``. The largest share wins, ties go to the lower id.
         """
-        tokens = s.split()
+        own = self._made["words"]
+        tokens = [t for t in s.split() if t in own or t not in AROUND and not t.isdigit()]
         near = [self._near(t) for t in tokens]
         best = (0.0, 0)
         for key, full, content in self._made["names"]:
             links = sorted(((sims[c], i, j) for j, c in enumerate(content) for i, sims in enumerate(near) if c in sims), reverse=True)
-            used_i, used_j, total = set(), set(), 0.0
+            used_i, used_j, total, weakest = set(), set(), 0.0, 1.0
             for x, i, j in links:
                 if i not in used_i and j not in used_j:
                     used_i.add(i)
                     used_j.add(j)
-                    total += x * len(content[j])
-            score = 0.0
-            if len(used_j) == len(content) or 2 * len(used_j) >= len(content) and alike("".join(tokens), "".join(full), self.whole_least):
-                score = 2 * total / (sum(map(len, content)) + sum(len(t) for t in tokens if t not in FILLERS))
-            if score and (score, -key) > (best[0], -best[1] if best[1] else float("-inf")):
+                    total += x * (len(content[j]) + len(tokens[i]))
+                    weakest = min(weakest, x)
+            if len(used_j) < len(content):
+                continue
+            # short leftovers are broken link words ("deP rocesso")
+            score = total / (sum(map(len, content)) + sum(len(t) for i, t in enumerate(tokens) if len(t) > 3 or i in used_i))
+            if (score < self.share_least or weakest < self.token_least) and not alike("".join(s.split()), "".join(full), self.whole_least):
+                continue
+            if (score, -key) > (best[0], -best[1] if best[1] else float("-inf")):
                 best = (score, key)
         return best[1]
 
