@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import materialize
+
 
 def duplicate_stats(rows: DataFrame, group: str, key: str) -> DataFrame:
     """Per group: lines, unique ids, ids that occur more than once, and lines in excess. Two aggregations, the first partial."""
@@ -29,10 +31,26 @@ def keep_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("_first")).select(key, "_first.*")
 
 
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``place`` of each row in its group by an order, from 1, without gathering a group in one task.
+
+    Rows are sorted over all partitions by range, so that a large group spans many; each row keeps its partition and
+    place there, and the partitions' counts (one row per partition and group) give the offsets. The sorted rows are
+    kept in the shared folder, since both steps must see the same partitions.
+    """
+    ranged = rows.repartitionByRange(*[F.col(c) for c in (group, *order)]).sortWithinPartitions(group, *order)
+    marked = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    kept = materialize(marked, "placed")
+    counts = kept.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_p")) - F.col("_n")
+    offsets = counts.select("_group", "_p", (before - F.col("_from") + 1).alias("_shift"))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p"))
+    return kept.join(offsets, same).withColumn("place", F.col("_at") + F.col("_shift")).drop("_group", "_p", "_part", "_at", "_shift")
+
+
 def rechunk(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
     """``chunk`` number of each row: floor((place - 1) / size) within its group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("chunk", F.floor((place - 1) / size))
+    return placed(rows, group, order).withColumn("chunk", F.floor((F.col("place") - 1) / size)).drop("place")
 
 
 def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -99,8 +99,8 @@ def score(query: Query, at: dict[str, list[int]]) -> float | None:
     return best
 
 
-def ranked(docs: DataFrame, text: Column, query: str, limit: int, *, cap: int | None = None, stemmed: bool = True) -> DataFrame:
-    """(doc_id, score): the best ``limit`` matches, ties by doc_id.
+def ranked(docs: DataFrame, text: Column, query: str, limit: int | None, *, cap: int | None = None, stemmed: bool = True) -> DataFrame:
+    """(doc_id, score): the best ``limit`` matches, ties by doc_id; all matches, in no order, where limit is None.
 
     A word of the query is first sought in the folded text inside the JVM, so that most texts never
     reach Python. ``cap`` keeps only the first matches by doc_id, as a bound on ranking work. An empty
@@ -123,7 +123,7 @@ def ranked(docs: DataFrame, text: Column, query: str, limit: int, *, cap: int |
     found = docs.where(text.isNotNull() & may_match(text, parsed)).select("doc_id", scores(text).alias("score")).where(F.col("score").isNotNull())
     if cap is not None:
         found = found.orderBy("doc_id").limit(cap)
-    return found.orderBy(F.desc("score"), "doc_id").limit(limit)
+    return found if limit is None else found.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def may_match(text: Column, query: Query) -> Column:

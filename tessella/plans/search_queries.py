@@ -49,8 +49,7 @@ def f7_vector_present(spark: SparkSession, folder: str) -> DataFrame:
 def f8_text_match(spark: SparkSession, folder: str) -> DataFrame:
     """Unstemmed match, which SQL can check: word and phrase, without a word."""
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("full_text"))
-    n = docs.count()
-    return fts.ranked(docs, F.col("full_text"), "assembleia direção OR menor avós -pericia", max(1, n), stemmed=False).select("doc_id")
+    return fts.ranked(docs, F.col("full_text"), "assembleia direção OR menor avós -pericia", None, stemmed=False).select("doc_id")
 
 
 def f9_key_exists(spark: SparkSession, folder: str) -> DataFrame:
