@@ -122,6 +122,15 @@ def unifies_case_law(*labels: Column) -> Column:
     return hit
 
 
+# Phrases by which a decision states a thesis for all courts, without accents.
+THESIS = r"fixa-se a seguinte jurisprudencia|fixa jurisprudencia|uniformiza(?:-se)? (?:a )?jurisprudencia|acordao uniformizador"
+
+
+def states_thesis(*texts: Column) -> Column:
+    """Whether any of the texts states a thesis; null texts count as no."""
+    return F.coalesce(F.lower(fold(F.concat_ws(" ", *texts))).rlike(THESIS), F.lit(False))
+
+
 def iso_date(raw: Column) -> Column:
     """ISO, MM/DD/YYYY or DD-MM-YYYY; the first shape that fits decides, impossible dates are null."""
     s = F.trim(raw)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators import dedup, models, quality
+from tessella.functions import text
+from tessella.operators import ann, dedup, models, quality
 from tessella.session import shared_dir
 from tessella.sources import files
 from tessella.sources.corpus import serving
@@ -266,8 +267,59 @@ def tk7_sample(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(10)
 
 
+def t11_thesis(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    return d.agg(F.count_if(text.states_thesis(F.col("summary"), F.col("text"))).alias("by_thesis"), F.count_if(text.unifies_case_law(F.col("text"))).alias("by_words"))
+
+
+def a27_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a log by level; the log is written from the events."""
+    path = _path(spark, "log")
+    table(spark, folder, "events").select(F.concat_ws(" ", F.when(F.col("value") < 10, "ERROR").otherwise("INFO"), "event_type", F.col("event_id").cast("string")).alias("value")).write.text(path)
+    lines = spark.read.text(path)
+    return lines.agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains("ERROR")).alias("errors"))
+
+
+def s8_keyset(spark: SparkSession, folder: str) -> DataFrame:
+    """One page of a keyset scan: the thousand ids after the middle one."""
+    d = _raw(spark, folder).select("doc_id").distinct()
+    return d.where(F.col("doc_id") > "8" + "0" * 31).orderBy("doc_id").limit(1000)
+
+
+def k5_concat(spark: SparkSession, folder: str) -> DataFrame:
+    path = _path(spark, "concat")
+    files.concatenated(_raw(spark, folder).select("doc_id", "chunk_file", "line_no"), ["chunk_file", "line_no", "doc_id"], path)
+    back = files.read_lines(spark, path, "doc_id string, chunk_file string, line_no bigint")
+    return back.agg(F.count_distinct("shard").alias("files"), F.count("*").alias("lines"), F.min("doc_id").alias("first_id"))
+
+
+def k8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """A summary record per court written as JSON and read back."""
+    path = _path(spark, "summaries")
+    table(spark, folder, "documents").where("court_short is not null").groupBy("court_short").agg(F.count("*").alias("n")).write.json(path)
+    return spark.read.schema("court_short string, n bigint").json(path)
+
+
+def k9_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector index stored by list and read back: every vector is in it once."""
+    path = _path(spark, "index")
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    ann.index(vectors, "embedding", ann.centroids(vectors, "embedding", 16)).write.partitionBy("list").parquet(path)
+    return spark.read.parquet(path).agg(F.count("*").alias("vectors"), F.count_distinct("vec_id").alias("ids"), (F.count_distinct("list") <= 16).alias("lists"))
+
+
+def m4_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    """Two stand-in models over the labelled documents: mean distance of a length rule from the grade, per model."""
+    rules = spark.createDataFrame([("short", 300.0), ("long", 700.0)], "model string, per_grade double")
+    x = table(spark, folder, "reading_labels").where("grade is not null").join(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id").join(F.broadcast(rules))  # two models
+    guess = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("n_chars") / F.col("per_grade")))
+    return x.groupBy("model").agg(F.count("*").alias("documents"), F.round(F.avg(F.abs(guess - F.col("grade"))), 4).alias("mean_error"))
+
+
 def queries() -> dict:
     return {
+        "T11_thesis": t11_thesis, "A27_log_lines": a27_log, "S8_keyset": s8_keyset, "K5_concat": k5_concat, "K8_summaries": k8_documents, "K9_index": k9_index, "M4_benchmark": m4_benchmark,
+        "S9_scan": lambda s, f: table(s, f, "documents").select("doc_id", "source", "lang"),
         "A10_duplicates": a10_duplicates, "A11_dup_places": a11_places, "A12_completeness": a12_completeness, "A13_flag_rates": a13_flags, "A14_date_quality": a14_dates, "A15_json_validity": a15_validity,
         "A16_coverage": a16_coverage, "A17_sizes": a17_sizes, "A18_scorecard": a18_scorecard, "A18_confidence": a18_confidence, "A19_depth": a19_depth, "A20_clusters": a20_clusters, "A21_parties": a21_parties,
         "A22_leading_word": a22_leading, "A23_law_counts": a23_laws, "A24_signals": a24_signals, "A25_usage": a25_usage, "A26_W2_rolling_rate": w2_rolling,
@@ -289,6 +341,14 @@ def oracle_sql() -> dict[str, str]:
     strings = ("summary", "legal_question", "decision_outcome", "voting")
     bad = lambda n: f"coalesce(sum(len(list_filter(e.{n}, lambda q: q is not null and (q.citation_context is null or q.citation_context not in {CONTEXTS})))), 0)::bigint as bad_{n}"
     return {
+        "T11_thesis": "with t as (select strip_accents(lower(coalesce(text, ''))) as t, strip_accents(lower(concat_ws(' ', summary, text))) as b from documents) select count(*) filter (regexp_matches(b, 'fixa-se a seguinte jurisprudencia|fixa jurisprudencia|uniformiza(?:-se)? (?:a )?jurisprudencia|acordao uniformizador')) as by_thesis, count(*) filter (regexp_matches(t, 'unifor[a-z]{0,6}zacao|fixacao\\s+de\\s+jurispr|fixar\\s+jurispr|uniformizador')) as by_words from t",
+        "A27_log_lines": "select count(*) as lines, count(*) filter (value < 10) as errors from events",
+        "S8_keyset": "select distinct doc_id from raw_docs where doc_id > '8' || repeat('0', 31) order by doc_id limit 1000",
+        "K5_concat": "select 1::bigint as files, count(*) as lines, min(doc_id) as first_id from raw_docs",
+        "K8_summaries": "select court_short, count(*) as n from documents where court_short is not null group by 1",
+        "K9_index": "select count(*) as vectors, count(distinct vec_id) as ids, true as lists from embeddings",
+        "M4_benchmark": "select model, count(*) as documents, round(avg(abs(greatest(1.0, least(5.0, n_chars / p)) - grade)), 4) as mean_error from reading_labels l join documents d on d.doc_id = l.doc_id, (values ('short', 300.0::double), ('long', 700.0::double)) m(model, p) where grade is not null group by 1",
+        "S9_scan": "select doc_id, source, lang from documents",
         "A10_duplicates": "select court_short, sum(n)::bigint as lines, count(*) as unique_ids, count(*) filter (n > 1) as dup_ids, sum(n - 1)::bigint as extra_lines from (select court_short, doc_id, count(*) as n from raw_docs group by all) group by 1",
         "A11_dup_places": "select count(*) filter (f > 1) as cross_file_ids, count(*) filter (f = 1) as same_file_ids from (select doc_id, count(*) as n, count(distinct chunk_file) as f from raw_docs group by 1) where n > 1",
         "A12_completeness": f"with d as (select * from {x} where r = 1), f as (select * from (select *, row_number() over (partition by court_short order by doc_id) as p from d) where p <= 100), o as (" + " union all ".join([*[pct(n, f"e.{n} is not null and e.{n} <> ''") for n in strings], *[pct(n, f"e.{n} is not null and len(e.{n}) > 0") for n in ("parties", "injuries")]]) + ") select *, case when pct >= 80 then 'ok' when pct >= 50 then 'weak' else 'poor' end as mark from o",
