@@ -9,7 +9,9 @@ go to token-set similarity, which forgives misspellings. The rest mean no entry.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
@@ -37,6 +39,7 @@ OLDEST, YOUNGEST = 79, 24
 
 NUMBER_MARK = re.compile(r"\b(?:n\s*\.?\s*[o°]s?|num(?:ero)?s?|nr|n)\s*\.?\s*(?=\d)")
 ACT_NUMBER = re.compile(r"(?<!\d)0*(\d+)\s*(?:[-‐-―−]\s*([a-z])(?![a-z]))?\s*(?:/|\bde\b)\s*(\d{4}|\d{2})(?!\d)")
+NEXT_WORD = re.compile(r"\s*(\S+)")
 INITIALS = re.compile(r"\b[a-z]\.(?:\s?[a-z]\.)*\s?[a-z]\b\.?")
 
 
@@ -132,11 +135,12 @@ class Gazetteer:
     def mentions(self, s: str) -> list[tuple[int, int, str, object]]:
         """Longest mentions that do not overlap, in order."""
         hits = sorted(((end - size + 1, end, what) for end, (size, what) in self._made["auto"].iter(s)), key=lambda h: (h[0] - h[1], h[0]))
-        taken: list[tuple[int, int, str, object]] = []
+        taken: list[tuple[int, int, str, object]] = []  # in order, so that only neighbours can overlap
         for start, end, what in hits:
-            if all(end <= a or start >= b for a, b, _, _ in taken):  # blanks may be shared
-                taken.append((start, end, *what))
-        return sorted(taken)
+            at = bisect(taken, start, key=itemgetter(0))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):  # blanks may be shared
+                taken.insert(at, (start, end, *what))
+        return taken
 
     def find(self, text: str | None) -> int:
         """The entry meant, 0 for none. Null and blank mean none."""
@@ -151,9 +155,9 @@ class Gazetteer:
             return min(names)[2]
         for a, b, kind, what in found:
             if kind == "kind":
-                following = s[b:].split(maxsplit=1)
-                if following and "/" in following[0]:
-                    return self._made["acts"].get((what, following[0]), 0)
+                following = NEXT_WORD.match(s, b)
+                if following and "/" in following[1]:
+                    return self._made["acts"].get((what, following[1]), 0)
         shorts = [what for _, _, kind, what in found if kind == "short"]
         return shorts[0] if shorts else self.similar(s)
 
@@ -173,7 +177,7 @@ class Gazetteer:
         ``loose_least`` and the whole strings by ``whole_least``. The largest share wins, ties go to the lower id.
         """
         own = self._made["words"]
-        tokens = [t for t in s.split() if t in own or t not in AROUND and not t.isdigit()]
+        tokens = list(dict.fromkeys(t for t in s.split() if t in own or t not in AROUND and not t.isdigit()))
         near = [self._near(t) for t in tokens]
         best = (0.0, 0)
         for key, full, content in self._made["names"]:
