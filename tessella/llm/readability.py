@@ -41,6 +41,10 @@ def measure(text: str | None) -> tuple[float, ...] | None:
     return (n / s, float(max(counts)), text.count(",") / s, sum(w in SUBORDINATORS for w in low) / s, sum(x > LONG for x in sizes) / n, sum(x > VERY_LONG for x in sizes) / n, sum(sizes) / n, len(set(low)) / n**0.5)
 
 
+#: What is assumed before any grade is seen: longer sentences and more long words are harder, as in published formulas.
+ASSUMED = np.array([1.0, 0, 0, 0, 1.0, 0, 0, 0])
+
+
 @dataclass
 class Ranker:
     """score = weights . standardized(log1p(features)); level = isotonic(score)."""
@@ -50,6 +54,7 @@ class Ranker:
     weights: np.ndarray
     knots: np.ndarray
     levels: np.ndarray
+    middle: float  # the mean level of the graded documents
 
     def standard(self, features: np.ndarray) -> np.ndarray:
         return (np.log1p(features) - self.mean) / self.scale
@@ -78,8 +83,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return knots, values
 
 
-def fit(features: np.ndarray, grades: np.ndarray, *, pairs: int = 200_000, rounds: int = 25, ridge: float = 1.0, seed: int = 7) -> Ranker:
-    """Logistic regression on differences of documents with different grades, then isotonic calibration."""
+def fit(features: np.ndarray, grades: np.ndarray, *, pairs: int = 200_000, rounds: int = 50, trust: float = 10.0, seed: int = 7) -> Ranker:
+    """Logistic regression on differences of documents with different grades, then isotonic calibration.
+
+    The weights start from ASSUMED, which counts as much as ``trust`` documents: the pairs together weigh as much as
+    the graded documents they come from, so that a handful of noisy grades can't turn the ranking around.
+    """
     logs = np.log1p(features)
     mean, scale = logs.mean(0), logs.std(0)
     scale[scale == 0] = 1
@@ -90,17 +99,18 @@ def fit(features: np.ndarray, grades: np.ndarray, *, pairs: int = 200_000, round
     a, b = a[keep], b[keep]
     up = np.where((grades[a] > grades[b])[:, None], x[a] - x[b], x[b] - x[a])
     gap = np.abs(grades[a] - grades[b])
-    weights = np.zeros(x.shape[1])
+    gap *= len(x) / max(1e-9, gap.sum())
+    weights = ASSUMED.copy()
     for _ in range(rounds if len(up) else 0):
         p = 1 / (1 + np.exp(up @ weights))
-        slope = up.T @ (gap * p) - ridge * weights
-        curve = (up * (gap * p * (1 - p))[:, None]).T @ up + ridge * np.eye(len(weights))
+        slope = up.T @ (gap * p) - trust * (weights - ASSUMED)
+        curve = (up * (gap * p * (1 - p))[:, None]).T @ up + trust * np.eye(len(weights))
         step = np.linalg.solve(curve, slope)
         weights += step
         if np.abs(step).max() < 1e-6:
             break
     knots, levels = isotonic(x @ weights, grades, np.ones(len(x)))
-    return Ranker(mean, scale, weights, knots, levels)
+    return Ranker(mean, scale, weights, knots, levels, float(np.interp(x @ weights, knots, levels).mean()))
 
 
 def measured(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", ranker: Ranker | None = None) -> DataFrame:
@@ -143,23 +153,23 @@ def train(corpus: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 
 
 def reading_levels(corpus: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """doc_id, features, score and level (1 easiest; null without words) of every document.
+    """doc_id, features, score, level (1 easiest; null without words) and the graded documents' middle level.
 
-    Without usable labels score and level are null.
+    Without usable labels score, level and middle are null.
     """
     names = {k: v for k, v in options.items() if k in ("doc_id", "text")}
     ranker = train(corpus, labels, **options)
     if ranker is None:
         nothing = F.lit(None).cast("double")
-        return measured(corpus, **names).select("*", nothing.alias("score"), nothing.alias("level"))
-    return measured(corpus, **names, ranker=ranker)
+        return measured(corpus, **names).select("*", nothing.alias("score"), nothing.alias("level"), nothing.alias("middle"))
+    return measured(corpus, **names, ranker=ranker).withColumn("middle", F.lit(ranker.middle))
 
 
-def extreme_bands(levels: DataFrame, middle: float = 3.0) -> DataFrame:
+def extreme_bands(levels: DataFrame) -> DataFrame:
     """(doc_id, reading_band): of the documents the ranker puts on one side of the middle, those the definition confirms.
 
     'easy' has at most 12 words a sentence and 30 % long words, 'hard' at least 30 and 40 %.
     """
-    easy = (F.col("level") <= middle) & (F.col("words_per_sentence") <= 12) & (F.col("long_share") <= 0.3)
-    hard = (F.col("level") >= middle) & (F.col("words_per_sentence") >= 30) & (F.col("long_share") >= 0.4)
+    easy = (F.col("level") <= F.col("middle")) & (F.col("words_per_sentence") <= 12) & (F.col("long_share") <= 0.3)
+    hard = (F.col("level") >= F.col("middle")) & (F.col("words_per_sentence") >= 30) & (F.col("long_share") >= 0.4)
     return levels.select("doc_id", F.when(easy, "easy").when(hard, "hard").alias("reading_band")).where("reading_band is not null")

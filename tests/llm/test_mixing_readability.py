@@ -82,3 +82,14 @@ def test_levels_and_bands(spark):
     bands = {r.doc_id: r.reading_band for r in readability.extreme_bands(levels).collect()}
     assert bands[902] == "easy" and bands[903] == "hard" and 900 not in bands
     assert all(r.level is None for r in readability.reading_levels(c, lab.where("false")).collect())
+
+
+def test_few_contrary_grades_do_not_turn_the_ranking(spark):
+    rows, _ = graded(60, 5)
+    rows += [(902, "sol mar. rei vai. pão bom."), (903, " ".join(["constitucionalidade de fundamentação"] * 20) + ".")]
+    c = spark.createDataFrame(rows, "doc_id long, text string")
+    contrary = spark.createDataFrame([(902, 4), (903, 2), (1, 3)], "doc_id long, grade int")
+    levels = readability.reading_levels(c, contrary)
+    score = {r.doc_id: r.score for r in levels.collect()}
+    bands = {r.doc_id: r.reading_band for r in readability.extreme_bands(levels).collect()}
+    assert score[902] < score[903] and bands[902] == "easy" and bands[903] == "hard"
