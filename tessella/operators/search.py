@@ -99,6 +99,12 @@ def fuse(ranks: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
     )
 
 
+def searched_text(docs: DataFrame) -> Column:
+    """Summary, domain, number and keywords in one text; keywords that aren't promoted are taken from the metadata."""
+    keywords = F.col("keywords_search_query") if "keywords_search_query" in docs.columns else F.try_variant_get(F.try_parse_json("metadata"), "$.keywords_search_query", "string")
+    return F.concat_ws(" ", "summary", "legal_domain", "process_number", keywords)
+
+
 def search(docs: DataFrame, request: SearchRequest, mode: str = "hybrid", *, vector: list[float] | None = None, embed: object = None, cap: int | None = None, stemmed: bool = True) -> DataFrame:
     """Ranked results with per-source scores and ranks, in one plan.
 
@@ -116,8 +122,7 @@ def search(docs: DataFrame, request: SearchRequest, mode: str = "hybrid", *, vec
     if vectors := [s for s in used if s != "fts"]:
         ranks = vector_lists(kept, vectors, vector, fetch)
     if "fts" in used:
-        text = F.concat_ws(" ", "summary", "legal_domain", "process_number")
-        found = ranked_list("fts", fts.ranked(kept, text, kw, fetch, cap=cap, stemmed=stemmed))
+        found = ranked_list("fts", fts.ranked(kept, searched_text(kept), kw, fetch, cap=cap, stemmed=stemmed))
         ranks = found if ranks is None else ranks.unionByName(found)
     weights = dict.fromkeys(used, 1.0) if mode == "fts" else {s: request.weights[s] for s in used}
     fused = fuse(ranks, weights, request.rrf_k)

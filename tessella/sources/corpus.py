@@ -14,13 +14,14 @@ DOC_COLUMNS = ("doc_id", "url", "court_short", "decision_date", "process_number"
 
 
 def serving(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with full_text, valid JSON metadata only, and its promoted fields decision_type and extraction_confidence."""
+    """Documents with full_text, valid JSON metadata only, and its promoted fields decision_type, extraction_confidence and keywords_search_query."""
     docs = table(spark, folder, "documents")
     v = F.try_parse_json("metadata")
     field = lambda k: F.try_variant_get(v, f"$.{k}", "string")
     return docs.select(
         "doc_id", "url", "court_short", "decision_date", "process_number", "legal_domain", "is_auj", F.col("text").alias("full_text"), "summary",
         F.when(v.isNotNull(), F.col("metadata")).alias("metadata"), field("decision_type").alias("decision_type"), field("extraction_confidence").alias("extraction_confidence"),
+        field("keywords_search_query").alias("keywords_search_query"),
     )
 
 
