@@ -73,6 +73,10 @@ def prompt(court: Column, court_short: Column, body: Column, most: int = 80_000)
     return F.concat(F.lit("Court: "), name, F.lit("\n\n"), F.left(F.coalesce(body, F.lit("")), F.lit(most)))
 
 
-def side_by_side(results: DataFrame, doc: str, model: str, value: str, models: list[str]) -> DataFrame:
-    """One row per document with a column for each model's value."""
+def side_by_side(results: DataFrame, doc: str, model: str, value: str, models: list[str] | None = None, most: int = 500) -> DataFrame:
+    """One row per document with a column for each model's value; without ``models`` for all there are, an error beyond ``most``."""
+    if models is None:
+        models = [r[0] for r in results.where(F.col(model).isNotNull()).select(model).distinct().orderBy(model).limit(most + 1).collect()]
+        if len(models) > most:
+            raise ValueError(f"more than {most} values of {model}")
     return results.groupBy(doc).pivot(model, models).agg(F.first(value))

@@ -151,7 +151,7 @@ def j6_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 def j9_pivot(spark: SparkSession, folder: str) -> DataFrame:
     x = table(spark, folder, "reading_labels").where("grade is not null").groupBy("doc_id", "rater").agg(F.max("grade").alias("grade"))
-    return models.side_by_side(x, "doc_id", "rater", "grade", [f"leitor_{i}" for i in range(1, 4)])
+    return models.side_by_side(x, "doc_id", "rater", "grade")
 
 
 def j10_lookup(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import datetime as dt
 import json
 
-from tessella.operators import search
-from tessella.plans import search_queries
+import pytest
+
+from tessella.operators import models, search
+from tessella.plans import audit_queries, search_queries
 from tessella.sources.corpus import serving
 
 
@@ -17,3 +19,13 @@ def test_text_search_reads_keywords(spark, tmp_path):
     request = search.SearchRequest(q="muro", weights={"fts": 1.0})
     for docs in (serving(spark, str(tmp_path)), serving(spark, str(tmp_path)).drop("keywords_search_query")):
         assert {r.doc_id for r in search.search(docs, request).collect()} == {1, 2}
+
+
+def test_every_rater_has_a_column(spark, tmp_path):
+    rows = [(d, f"leitor_{r}", (d + r) % 5 + 1) for d in range(3) for r in range(1, 8) if d < 2 or r == 7]
+    labels = spark.createDataFrame([*rows, (9, "leitor_8", None)], "doc_id long, rater string, grade int")
+    labels.write.parquet(f"{tmp_path}/reading_labels.parquet")
+    got = {(r.doc_id, k, v) for r in audit_queries.j9_pivot(spark, str(tmp_path)).collect() for k, v in r.asDict().items() if k != "doc_id" and v is not None}
+    assert got == set(rows)
+    with pytest.raises(ValueError):
+        models.side_by_side(labels, "doc_id", "rater", "grade", most=7)
