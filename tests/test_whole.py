@@ -29,3 +29,12 @@ def test_every_rater_has_a_column(spark, tmp_path):
     assert got == set(rows)
     with pytest.raises(ValueError):
         models.side_by_side(labels, "doc_id", "rater", "grade", most=7)
+
+
+def test_completeness_covers_all_documents(spark, tmp_path):
+    full, empty = ("s", "q", "o", "v", ["p"], ["i"]), (None, "", None, "", [], None)
+    rows = [(f"{i:04}", "TAB", full if i < 100 else empty) for i in range(400)] + [("x", "TAL", full)]
+    extracted = "struct<summary: string, legal_question: string, decision_outcome: string, voting: string, parties: array<string>, injuries: array<string>>"
+    spark.createDataFrame([*rows, rows[399]], f"doc_id string, court_short string, llm_extracted {extracted}").write.parquet(f"{tmp_path}/enhanced_docs.parquet")
+    got = audit_queries.a12_completeness(spark, str(tmp_path)).collect()
+    assert len(got) == 12 and {(r.court_short, r.pct, r.mark) for r in got} == {("TAB", 25.0, "poor"), ("TAL", 100.0, "ok")}
