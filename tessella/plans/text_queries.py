@@ -117,8 +117,9 @@ def f18_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t3_laws(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations by normalized name; what no rule resolves is counted as it stands."""
     x = table(spark, folder, "legislation_cited").where("law is not null")
-    return x.groupBy(text.law_name(F.col("law")).alias("name")).agg(F.count("*").alias("n")).where(F.col("name").rlike(r"^(Decreto-)?Lei n\.º \d+(-[A-Za-z])?/\d+$"))
+    return x.groupBy(text.law_name(F.col("law")).alias("name")).agg(F.count("*").alias("n"))
 
 
 def t5_places(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import datetime as dt
 import json
+import re
+from collections import Counter
 
 import pytest
 
+from tessella.functions.text import LAW_NAMES
 from tessella.operators import models, search
-from tessella.plans import audit_queries, search_queries
+from tessella.plans import audit_queries, search_queries, text_queries
 from tessella.sources.corpus import serving
 
 
@@ -38,3 +41,28 @@ def test_completeness_covers_all_documents(spark, tmp_path):
     spark.createDataFrame([*rows, rows[399]], f"doc_id string, court_short string, llm_extracted {extracted}").write.parquet(f"{tmp_path}/enhanced_docs.parquet")
     got = audit_queries.a12_completeness(spark, str(tmp_path)).collect()
     assert len(got) == 12 and {(r.court_short, r.pct, r.mark) for r in got} == {("TAB", 25.0, "poor"), ("TAL", 100.0, "ok")}
+
+
+def law_name(raw):
+    """The plain form of the rules, without regard to Spark."""
+    if not raw:
+        return raw
+    s = re.sub(r",\s*de\s+\d+\s+de\s+\w+(\s+de\s+\d+)?\s*$", "", raw.strip(" "), flags=re.IGNORECASE)
+    low = s.lower().strip(" ")
+    if name := LAW_NAMES.get(low) or LAW_NAMES.get(low.strip(". ")):
+        return name
+    for kind, out in ((r"(?:decreto[\s-]?lei|dl)", "Decreto-Lei"), ("lei", "Lei")):
+        if m := re.match(kind + r"\s*(?:n[°º.\s]*)?\s*(\d+(?:-[A-Za-z])?/\d+)", s, re.IGNORECASE):
+            return f"{out} n.º {m.group(1)}"
+    return s
+
+
+def test_law_table_counts_every_citation(spark, tmp_path):
+    laws = ["CPC", "cpc.", "DL 15/93", "Lei 65/2003", "Portaria n.º 1/2001, de 3 de maio", "Regulamento (UE) 2016/679", "Código da Estrada", "Código da Estrada", "lei geral", "", "  ", None]
+    spark.createDataFrame([(x,) for x in laws], "law string").write.parquet(f"{tmp_path}/legislation_cited.parquet")
+    assert {r["name"]: r.n for r in text_queries.t3_laws(spark, str(tmp_path)).collect()} == {
+        "Código de Processo Civil": 2, "Decreto-Lei n.º 15/93": 1, "Lei n.º 65/2003": 1, "Portaria n.º 1/2001": 1, "Regulamento (UE) 2016/679": 1, "Código da Estrada": 2, "lei geral": 1, "": 2,
+    }
+    folder = "/root/testdata/sf0.01"
+    raw = spark.read.parquet(f"{folder}/legislation_cited.parquet").select("law").where("law is not null").collect()
+    assert {r["name"]: r.n for r in text_queries.t3_laws(spark, folder).collect()} == Counter(law_name(r.law) for r in raw)
