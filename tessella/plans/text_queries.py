@@ -189,8 +189,9 @@ def x6_listed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x7_urls(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "court_catalog")
-    starts = F.explode(F.sequence(F.lit(1), F.least(F.col("approx_count"), F.lit(301)), F.lit(100)))
+    """Every listing page that a court's count calls for, a hundred documents each."""
+    c = table(spark, folder, "court_catalog").where("approx_count >= 1")
+    starts = F.explode(F.sequence(F.lit(1), F.col("approx_count"), F.lit(100)))
     return c.select("court_short", starts.alias("start")).join(c, "court_short").select(F.concat(F.lit("https://h.example/"), "db", F.lit("/"), "view_id", F.lit("?OpenView&Start="), F.col("start").cast("string")).alias("url"))
 
 

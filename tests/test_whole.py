@@ -66,3 +66,10 @@ def test_law_table_counts_every_citation(spark, tmp_path):
     folder = "/root/testdata/sf0.01"
     raw = spark.read.parquet(f"{folder}/legislation_cited.parquet").select("law").where("law is not null").collect()
     assert {r["name"]: r.n for r in text_queries.t3_laws(spark, folder).collect()} == Counter(law_name(r.law) for r in raw)
+
+
+def test_listing_urls_reach_the_last_page(spark, tmp_path):
+    counts = {"a": 850, "b": 301, "c": 401, "d": 1, "e": 0, "f": None}
+    spark.createDataFrame([(k, k, "v", n) for k, n in counts.items()], "court_short string, db string, view_id string, approx_count long").write.parquet(f"{tmp_path}/court_catalog.parquet")
+    got = [r.url for r in text_queries.x7_urls(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(f"https://h.example/{k}/v?OpenView&Start={i}" for k, n in counts.items() for i in range(1, (n or 0) + 1, 100))
