@@ -53,6 +53,12 @@ def rechunk(rows: DataFrame, group: str, order: list[str], size: int) -> DataFra
     return placed(rows, group, order).withColumn("chunk", F.floor((F.col("place") - 1) / size)).drop("place")
 
 
+def keyset_pages(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``page`` of each distinct id: the pages, from 0, of a keyset scan that goes on until nothing is left."""
+    ids = rows.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_all", F.lit(0))
+    return rechunk(ids, "_all", [key], size).select(key, F.col("chunk").alias("page"))
+
+
 def unseen(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose id is not blank and not in the state."""
     return rows.where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).join(done.select(key), key, "left_anti")

@@ -286,6 +286,12 @@ def s8_keyset(spark: SparkSession, folder: str) -> DataFrame:
     return d.where(F.col("doc_id") > "8" + "0" * 31).orderBy("doc_id").limit(1000)
 
 
+def s8_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages of a keyset scan, a thousand ids each."""
+    pages = dedup.keyset_pages(_raw(spark, folder), "doc_id", 1000)
+    return pages.groupBy("page").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n"))
+
+
 def k5_concat(spark: SparkSession, folder: str) -> DataFrame:
     path = _path(spark, "concat")
     files.concatenated(_raw(spark, folder).select("doc_id", "chunk_file", "line_no"), ["chunk_file", "line_no", "doc_id"], path)
@@ -318,7 +324,7 @@ def m4_benchmark(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "T11_thesis": t11_thesis, "A27_log_lines": a27_log, "S8_keyset": s8_keyset, "K5_concat": k5_concat, "K8_summaries": k8_documents, "K9_index": k9_index, "M4_benchmark": m4_benchmark,
+        "T11_thesis": t11_thesis, "A27_log_lines": a27_log, "S8_keyset": s8_keyset, "S8_keyset_pages": s8_pages, "K5_concat": k5_concat, "K8_summaries": k8_documents, "K9_index": k9_index, "M4_benchmark": m4_benchmark,
         "S9_scan": lambda s, f: table(s, f, "documents").select("doc_id", "source", "lang"),
         "A10_duplicates": a10_duplicates, "A11_dup_places": a11_places, "A12_completeness": a12_completeness, "A13_flag_rates": a13_flags, "A14_date_quality": a14_dates, "A15_json_validity": a15_validity,
         "A16_coverage": a16_coverage, "A17_sizes": a17_sizes, "A18_scorecard": a18_scorecard, "A18_confidence": a18_confidence, "A19_depth": a19_depth, "A20_clusters": a20_clusters, "A21_parties": a21_parties,
@@ -344,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "T11_thesis": "with t as (select strip_accents(lower(coalesce(text, ''))) as t, strip_accents(lower(concat_ws(' ', summary, text))) as b from documents) select count(*) filter (regexp_matches(b, 'fixa-se a seguinte jurisprudencia|fixa jurisprudencia|uniformiza(?:-se)? (?:a )?jurisprudencia|acordao uniformizador')) as by_thesis, count(*) filter (regexp_matches(t, 'unifor[a-z]{0,6}zacao|fixacao\\s+de\\s+jurispr|fixar\\s+jurispr|uniformizador')) as by_words from t",
         "A27_log_lines": "select count(*) as lines, count(*) filter (value < 10) as errors from events",
         "S8_keyset": "select distinct doc_id from raw_docs where doc_id > '8' || repeat('0', 31) order by doc_id limit 1000",
+        "S8_keyset_pages": "select floor((r - 1) / 1000)::bigint as page, min(doc_id) as first_id, max(doc_id) as last_id, count(*) as n from (select doc_id, row_number() over (order by doc_id) as r from (select distinct doc_id from raw_docs where doc_id is not null)) group by 1",
         "K5_concat": "select 1::bigint as files, count(*) as lines, min(doc_id) as first_id from raw_docs",
         "K8_summaries": "select court_short, count(*) as n from documents where court_short is not null group by 1",
         "K9_index": "select count(*) as vectors, count(distinct vec_id) as ids, true as lists from embeddings",

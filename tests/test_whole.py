@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from tessella.functions.text import LAW_NAMES
-from tessella.operators import models, search
+from tessella.operators import dedup, models, search
 from tessella.plans import audit_queries, search_queries, text_queries
 from tessella.sources.corpus import serving
 
@@ -73,3 +73,14 @@ def test_listing_urls_reach_the_last_page(spark, tmp_path):
     spark.createDataFrame([(k, k, "v", n) for k, n in counts.items()], "court_short string, db string, view_id string, approx_count long").write.parquet(f"{tmp_path}/court_catalog.parquet")
     got = [r.url for r in text_queries.x7_urls(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(f"https://h.example/{k}/v?OpenView&Start={i}" for k, n in counts.items() for i in range(1, (n or 0) + 1, 100))
+
+
+def test_keyset_scan_reads_every_page(spark):
+    ids = [f"{i * 37 % 100:03}" for i in range(100)]
+    pages, last = {}, ""
+    while page := sorted(i for i in ids if i > last)[:7]:  # a keyset walk
+        pages |= dict.fromkeys(page, len(set(pages.values())))
+        last = page[-1]
+    rows = spark.createDataFrame([(i,) for i in [*ids, *ids[:30], None]], "doc_id string")
+    got = dedup.keyset_pages(rows, "doc_id", 7).collect()
+    assert len(got) == 100 and {r.doc_id: r.page for r in got} == pages
