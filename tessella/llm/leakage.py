@@ -74,12 +74,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts and places of patterns in a text of symbols >= 1."""
+    """Counts and places of patterns in a text of symbols >= 1; ``largest`` is the largest symbol of text and patterns."""
 
-    def __init__(self, text: np.ndarray, sample: int = 16) -> None:
+    def __init__(self, text: np.ndarray, sample: int = 16, largest: int = 0) -> None:
         text = np.concatenate([text, [0]]).astype(np.int64)
         order = suffix_array(text)
-        levels = max(1, int(text.max()).bit_length())
+        levels = max(1, largest.bit_length(), int(text.max()).bit_length())
         self.bwt = WaveletMatrix(text[order - 1], levels)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=(1 << levels) + 1))]).astype(np.int64)
         kept = order % sample == 0
@@ -155,7 +155,7 @@ class Passages:
             return out
         text, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         doc = np.repeat(np.arange(len(parts)), sizes)
-        index = FMIndex(text)
+        index = FMIndex(text, largest=len(self.ids) + 1)
         low, high = index.ranges(self.windows)
         count = high - low
         hit = np.flatnonzero(count)
