@@ -209,7 +209,7 @@ def queries() -> dict:
         "T1_keywords": g(KEYWORDS, "string", text.keywords),
         "T1_keywords_table": lambda s, f: table(s, f, "documents").select("doc_id", text.keywords(F.try_variant_get(F.try_parse_json("metadata"), "$.keywords_search_query", "string")).alias("k")).where("k is not null"),
         "T2_fold": lambda s, f: table(s, f, "law_catalog").select("law_id", text.fold(F.col("law_name")).alias("folded"), text.fold_exact(F.col("law_name")).alias("exact")),
-        "T3_law": g(LAWS, "string", text.law_name), "T3_law_table": t3_laws, "T4_clean": g(CLEAN, "string", text.clean_article),
+        "T3_law": g(LAWS, "string", text.law_name), "T3_law_table": t3_laws, "T4_clean": g(CLEAN, "string", articles.clean_article),
         "T5_T6_articles": g(ARTICLES, "string", lambda c: F.array_join(articles.expand_articles(c), "|")), "T5_table": t5_places, "T7_legislation": t7_golden, "T7_table": t7_legislation,
         "T8_unifying": lambda s, f: _rows(s, "p string, c string", [r[:2] for r in UNIFYING]).select("p", "c", text.unifies_case_law(F.col("p"), F.col("c")).alias("result")), "T8_table": t8_flags,
         "T9_dates": g(DATES, "string", text.iso_date, "date"), "T9_table": t9_dates, "T10_headers": t10_headers,
@@ -221,6 +221,15 @@ def queries() -> dict:
     }
 
 
+def _law_sql(c: str) -> str:
+    """A law's normal name by patterns: the rules of the operator stated another way."""
+    s = rf"regexp_replace(trim({c}), ',\s*de\s+\d+\s+de\s+[\p{{L}}\p{{N}}_]+(?:\s+de\s+\d+)?\s*$', '', 'i')"
+    names = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in text.LAW_NAMES.items()) + "}"
+    act = lambda kind: rf"regexp_extract({s}, '^{kind}\s*(?:n[°º.\s]*)?\s*(\d+(?:-[A-Za-z])?/\d+)', 1, 'i')"
+    decree, law = act(r"(?:decreto[\s-]?lei|dl)"), act("lei")
+    return f"case when {c} = '' then {c} else coalesce({names}[trim(lower({s}))], {names}[trim(lower({s}), '. ')], 'Decreto-Lei n.º ' || nullif({decree}, ''), 'Lei n.º ' || nullif({law}, ''), {s}) end"
+
+
 def oracle_sql() -> dict[str, str]:
     from tessella.plans.search_queries import S
 
@@ -248,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "T1_keywords": gold(KEYWORDS), "T3_law": gold(LAWS), "T4_clean": gold(CLEAN), "T5_T6_articles": gold(ARTICLES),
         "T1_keywords_table": f"with k as (select doc_id, {m('keywords_search_query')} as r from documents), p as (select doc_id, list_transform(string_split(r, ','), lambda p: trim(regexp_replace(regexp_replace(replace(replace(strip_accents(lower(p)), 'º', 'o'), 'ª', 'a'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) as p from k), f as (select doc_id, list_filter(p, lambda q: q <> '' and len(string_split(q, ' ')) between 2 and 6) as p from p), d as (select doc_id, list_filter(p, lambda q, i: list_position(p, q) = i) as p from f) select doc_id, array_to_string(p, ', ') as k from d where len(p) > 0",
         "T2_fold": "select law_id, replace(replace(strip_accents(law_name), 'º', 'o'), 'ª', 'a') as folded, replace(replace(strip_accents(law_name), 'º', 'o'), 'ª', 'a') as exact from law_catalog",
-        "T3_law_table": r"with l as (select regexp_replace(trim(law), ',\s*de\s+\d+\s+de\s+[\p{L}\p{N}_]+(?:\s+de\s+\d+)?\s*$', '', 'i') as s from legislation_cited where law is not null), e as (select regexp_extract(s, '^(?:decreto[\s-]?lei|dl)\s*(?:n[°º.\s]*)?\s*(\d+(?:-[A-Za-z])?/\d+)', 1, 'i') as d, regexp_extract(s, '^lei\s*(?:n[°º.\s]*)?\s*(\d+(?:-[A-Za-z])?/\d+)', 1, 'i') as l from l) select case when d <> '' then 'Decreto-Lei n.º ' || d else 'Lei n.º ' || l end as name, count(*) as n from e where d <> '' or l <> '' group by 1",
+        "T3_law_table": f"select {_law_sql('law')} as name, count(*) as n from legislation_cited where law is not null group by 1",
         "T7_legislation": _values(LEGISLATION_DONE, "doc_id, article, law, citation_context, place"),
         "T8_unifying": _values(UNIFYING, "p, c, result"),
         "T8_table": f"with {S}, t as (select strip_accents(lower(coalesce(metadata->>'procedural_type', ''))) as p, strip_accents(lower(coalesce(metadata->>'case_type', ''))) as c from s) select count(*) filter (regexp_matches(p, 'unifor[a-z]{{0,6}}zacao|fixacao\\s+de\\s+jurispr|fixar\\s+jurispr|uniformizador') or regexp_matches(c, 'unifor[a-z]{{0,6}}zacao|fixacao\\s+de\\s+jurispr|fixar\\s+jurispr|uniformizador')) as unifying, count(*) as total from t",
@@ -262,5 +271,5 @@ def oracle_sql() -> dict[str, str]:
         "X3_pages": r"with l as (select lower(string_split(list_extract(string_split(rtrim(url, '/'), '/'), -1), '?')[1]) as doc_id, list_transform(string_split(replace(replace(full_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) as l from raw_docs where url is not null), t as (select doc_id, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) as t from l) select distinct doc_id, md5(t) as text_md5 from t where length(t) >= 200",
         "X5_links": _values([("doc", "https://h.example/j.nsf/0/" + "a1" * 16 + "?OpenDocument"), ("doc", "https://h.example/j.nsf/0/" + "b2" * 16 + "?OpenDocument"), ("next", "https://h.example/?Start=201")], "kind, url"),
         "X6_listed_ids": "select distinct court_short, unnest(regexp_extract_all(url, '/([a-f0-9]{32})\\?OpenDocument', 1)) as id from documents",
-        "X7_listing_urls": "select 'https://h.example/' || db || '/' || view_id || '?OpenView&Start=' || unnest(generate_series(1, least(approx_count, 301), 100)) as url from court_catalog",
+        "X7_listing_urls": "select 'https://h.example/' || db || '/' || view_id || '?OpenView&Start=' || unnest(generate_series(1, approx_count, 100)) as url from court_catalog",
     }
