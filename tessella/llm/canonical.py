@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from dataclasses import dataclass, field
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,15 @@ def alike(a: str, b: str, least: float) -> float:
     return 1 - d / size if d <= most else 0.0
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """How often each of 64 classes of letters occurs in each word."""
+    out = np.zeros((len(words), 64), np.uint8)
+    for i, w in enumerate(words):
+        for c in w[:255]:
+            out[i, ord(c) & 63] += 1
+    return out
+
+
 @dataclass
 class Gazetteer:
     """Entries (id, name, short form, kind, year) and the automaton over their variants, built once per process."""
@@ -107,15 +118,24 @@ class Gazetteer:
         return self.__dict__ | {"_made": {}}
 
     def _make(self) -> dict:
-        auto, acts, names = ahocorasick.Automaton(), {}, []
-        patterns: dict[str, tuple[str, object]] = {}
-        for kind, aliases in KINDS.items():
-            for alias in aliases:
-                patterns[f" {alias} "] = ("kind", kind)
+        auto, names = ahocorasick.Automaton(), []
+        acts: dict[tuple[str | None, str], int] = {}
+        patterns: dict[str, tuple[str, object]] = {f" {alias} ": ("kind", kind) for kind, aliases in KINDS.items() for alias in aliases}
+        clashes: dict[str, set[int]] = {}
+
+        def put(pattern: str, what: str, key: int) -> None:
+            held = patterns.setdefault(pattern, (what, key))
+            if held[1] != key:
+                clashes.setdefault(pattern.strip(), {key}).update([held[1]] if isinstance(held[1], int) else [])
+
         for key, name, short, kind, year in self.entries:
             tokens = normal(name).split()
-            if year is not None:
-                acts[(kind, next(t for t in tokens if "/" in t))] = key
+            number = next((t for t in tokens if "/" in t), None)
+            if year is not None and number:
+                if acts.setdefault((kind, number), key) != key:
+                    clashes.setdefault(f"{kind} {number}", {key}).add(acts[(kind, number)])
+                continue
+            if not tokens:
                 continue
             content = [t for t in tokens if t not in FILLERS]
             names.append((key, tokens, content))
@@ -123,14 +143,27 @@ class Gazetteer:
             rest = tokens[1 + len(link) :]
             for first in OPENINGS.get(tokens[0], (tokens[0],)):
                 for variant in ([first, *link, *rest], [first, *[t for t in rest if t not in FILLERS]], [*rest, first, *link], [*rest, first]):
-                    patterns.setdefault(f" {' '.join(variant)} ", ("name", key))
-            if short:
-                patterns.setdefault(f" {fold(short)} ", ("short", key))
+                    put(f" {' '.join(variant)} ", "name", key)
+            if short and fold(short).strip():
+                put(f" {fold(short)} ", "short", key)
         for pattern, what in patterns.items():
             auto.add_word(pattern, (len(pattern), what))
         auto.make_automaton()
         vocabulary = sorted({t for _, _, content in names for t in content})
-        return {"auto": auto, "acts": acts, "names": names, "vocabulary": vocabulary, "words": frozenset(vocabulary), "near": {}}
+        lists: dict[str, list[int]] = {}  # the entries, by place in names, that need a word
+        for at, (_, _, content) in enumerate(names):
+            for t in set(content):
+                lists.setdefault(t, []).append(at)
+        return {
+            "auto": auto, "acts": acts, "names": names, "words": frozenset(vocabulary), "near": {}, "lists": lists, "clashes": clashes,
+            "spelled": np.array(vocabulary, object), "sizes": np.array([len(v) for v in vocabulary], np.int32), "letters": _letters(vocabulary),
+        }
+
+    def clashes(self) -> list[tuple[str, list[int]]]:
+        """(way of writing, ids) that entries share; a value that uses one is given the lowest of the ids, as entries come in order."""
+        if not self._made:
+            self._made.update(self._make())
+        return sorted((k, sorted(v)) for k, v in self._made["clashes"].items())
 
     def mentions(self, s: str) -> list[tuple[int, int, str, object]]:
         """Longest mentions that do not overlap, in order."""
@@ -162,25 +195,37 @@ class Gazetteer:
         return shorts[0] if shorts else self.similar(s)
 
     def _near(self, token: str) -> dict[str, float]:
-        memo = self._made["near"]
+        """The vocabulary words that are alike by ``loose_least``; lengths and letters in common rule most of them out at once."""
+        memo, made = self._made["near"], self._made
         if token not in memo:
             if len(memo) > 200_000:
                 memo.clear()
-            memo[token] = {v: x for v in self._made["vocabulary"] if (x := alike(token, v, self.loose_least))}
+            longer = np.maximum(made["sizes"], len(token))
+            most = (longer * (1 - self.loose_least) + 1e-9).astype(np.int32)
+            common = np.minimum(made["letters"], _letters([token])).sum(1)  # letters of one class count together: never too few
+            some = np.flatnonzero((np.abs(made["sizes"] - len(token)) <= most) & (longer - common <= most))
+            memo[token] = {v: x for v in made["spelled"][some] if (x := alike(token, v, self.loose_least))}
         return memo[token]
 
+    def _candidates(self, near: list[dict[str, float]]) -> list[int]:
+        """The places of the entries of which every content word has a like one, counted by the words' lists of entries."""
+        counted = Counter(at for v in {v for sims in near for v in sims} for at in self._made["lists"][v])
+        return sorted(at for at, n in counted.items() if n == len(set(self._made["names"][at][2])))
+
     def similar(self, s: str) -> int:
         """Token-set similarity: every content word of the entry has its own like word in the value.
 
         The words must be alike by ``token_least``, and the shared part of both word sets, without words that usually
         stand around a name, must reach ``share_least``, so that a further word makes another name; or they are alike by
         ``loose_least`` and the whole strings by ``whole_least``. The largest share wins, ties go to the lower id.
+        An entry of link words only is found by its name alone.
         """
         own = self._made["words"]
         tokens = list(dict.fromkeys(t for t in s.split() if t in own or t not in AROUND and not t.isdigit()))
         near = [self._near(t) for t in tokens]
         best = (0.0, 0)
-        for key, full, content in self._made["names"]:
+        for at in self._candidates(near):
+            key, full, content = self._made["names"][at]
             links = sorted(((sims[c], i, j) for j, c in enumerate(content) for i, sims in enumerate(near) if c in sims), reverse=True)
             used_i, used_j, total, weakest = set(), set(), 0.0, 1.0
             for x, i, j in links:

@@ -74,12 +74,12 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts and places of patterns in a text of symbols >= 1; ``largest`` is the largest symbol of text and patterns."""
+    """Counts and places of patterns in a text of symbols >= 1; patterns may hold symbols that the text lacks."""
 
-    def __init__(self, text: np.ndarray, sample: int = 16, largest: int = 0) -> None:
+    def __init__(self, text: np.ndarray, sample: int = 16) -> None:
         text = np.concatenate([text, [0]]).astype(np.int64)
         order = suffix_array(text)
-        levels = max(1, largest.bit_length(), int(text.max()).bit_length())
+        levels = max(1, int(text.max()).bit_length())
         self.bwt = WaveletMatrix(text[order - 1], levels)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=(1 << levels) + 1))]).astype(np.int64)
         kept = order % sample == 0
@@ -87,13 +87,20 @@ class FMIndex:
         self.samples = order[kept]
         self.size = len(text)
 
-    def ranges(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges [from, to) of many patterns of one length, searched backwards together."""
-        low = np.zeros(len(patterns), np.int64)
-        high = np.full(len(patterns), self.size, np.int64)
-        live = np.arange(len(patterns))
-        for symbol in patterns.T[::-1]:
-            c = symbol[live]
+    def ranges(self, stream: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges [from, to) of the patterns of one length that begin at ``starts`` of a stream, searched backwards together.
+
+        A symbol beyond the index's own range occurs nowhere.
+        """
+        low = np.zeros(len(starts), np.int64)
+        high = np.full(len(starts), self.size, np.int64)
+        live = np.arange(len(starts))
+        for back in range(length - 1, -1, -1):
+            c = stream[starts[live] + back].astype(np.int64)
+            known = c < 1 << self.bwt.levels
+            if not known.all():
+                low[live[~known]] = high[live[~known]] = 0
+                live, c = live[known], c[known]
             a, b = self.before[c] + self.bwt.rank(c, low[live]), self.before[c] + self.bwt.rank(c, high[live])
             low[live], high[live] = a, b
             live = live[a < b]
@@ -117,19 +124,23 @@ class FMIndex:
 
 
 class Passages:
-    """The windows of a test set over its own vocabulary."""
+    """The windows of a test set over its own vocabulary: one stream of symbols and the place where each window begins."""
 
     def __init__(self, items: list[tuple[int, str]], run: int) -> None:
         self.run, self.ids = run, {}
-        windows, owners, places = [], [], []
-        for item, text in items:
-            symbols = [self.ids.setdefault(w, len(self.ids) + 2) for w in words(repair(text))]  # 0 ends the text, 1 parts it
-            for i in range(len(symbols) - run + 1):
-                windows.append(symbols[i : i + run])
-                owners.append(item)
-                places.append(i)
-        self.windows = np.array(windows, np.int64).reshape(-1, run)
-        self.owners, self.places = np.array(owners, np.int64), np.array(places, np.int64)
+        self.names = np.array([i for i, _ in items], np.int64)
+        stream, starts, owners, places = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        at = 0
+        for number, (_, text) in enumerate(items):
+            symbols = np.array([self.ids.setdefault(w, len(self.ids) + 2) for w in words(repair(text))], np.int32)  # 0 ends the text, 1 parts it
+            n = max(0, len(symbols) - run + 1)
+            stream.append(symbols)
+            starts.append(at + np.arange(n))
+            owners.append(np.full(n, number, np.int32))
+            places.append(np.arange(n, dtype=np.int32))
+            at += len(symbols)
+        self.stream, self.starts = np.concatenate(stream), np.concatenate(starts)
+        self.owners, self.places = np.concatenate(owners), np.concatenate(places)
 
     def stretches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of a text's long stretches of vocabulary words, each followed by 1, and the words' places."""
@@ -151,12 +162,12 @@ class Passages:
         """Merged spans of every passage in one shard, found through its index."""
         out: dict[str, list] = {"doc_id": [], "item_id": [], "first_word": [], "last_word": [], "longest": []}
         sizes = np.array([len(p[0]) for p in parts])
-        if not len(self.windows) or not sizes.sum():
+        if not len(self.starts) or not sizes.sum():
             return out
         text, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         doc = np.repeat(np.arange(len(parts)), sizes)
-        index = FMIndex(text, largest=len(self.ids) + 1)
-        low, high = index.ranges(self.windows)
+        index = FMIndex(text)
+        low, high = index.ranges(self.stream, self.starts, self.run)
         count = high - low
         hit = np.flatnonzero(count)
         if not len(hit):
@@ -164,7 +175,7 @@ class Passages:
         window = np.repeat(hit, count[hit])
         rows = np.arange(count.sum()) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit]) + np.repeat(low[hit], count[hit])
         at = index.locate(rows)
-        d, item, start, shift = doc[at], self.owners[window], place[at], place[at] - self.places[window]
+        d, item, start, shift = doc[at], self.names[self.owners[window]], place[at], place[at] - self.places[window]
         order = np.lexsort((start, shift, item, d))
         d, item, start, shift = d[order], item[order], start[order], shift[order]
         # windows of one item at one shift that follow each other are one run of equal words
@@ -187,37 +198,39 @@ class Passages:
         return out
 
 
-def leaked_spans(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = 12, shard_words: int = 1 << 21, most_items: int = 200_000) -> DataFrame:
+def leaked_spans(corpus: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = 12, shard_words: int = 1 << 21, most_bytes: int = 1 << 26) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, longest): merged spans of ``run`` or more successive words of an item.
 
     Words are compared without case and accents; a text whose encoding was mangled is read
     repaired. first_word and last_word count the text's words from 0. Null and blank texts,
     items shorter than ``run`` words, and items without an id have no spans; ids that repeat are searched as one
-    item each. The test set is a stated query set: it is held in memory, and one of more
-    than ``most_items`` items is refused. Further columns are not read.
+    item each. The test set is a stated query set, held in memory with about four times the
+    bytes of its text: one of more than ``most_bytes`` bytes (64 MB) is refused before it is
+    read and must be searched in parts. Further columns are not read.
     """
-    rows = items.select(F.col(item_id).cast("bigint"), item_text).where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"the test set has more than {most_items} items")
-    passages = Passages([tuple(r) for r in rows], run)
+    usable = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    held = usable.agg(F.sum(F.octet_length("t").cast("bigint") + 8)).first()[0] or 0
+    if held > most_bytes:
+        raise ValueError(f"the test set has {held} bytes, more than {most_bytes}")
+    passages = corpus.sparkSession.sparkContext.broadcast(Passages([tuple(r) for r in usable.collect()], run))  # of bounded size
 
     def run_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[int] = []
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
+        held, own = 0, passages.value
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("longest", pa.int32())])
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = passages.stretches(repair(value))
+                part = own.stretches(repair(value))
                 if len(part[0]):
                     docs.append(doc)
                     parts.append(part)
                     held += len(part[0])
                 if held >= shard_words:
-                    yield pa.RecordBatch.from_pydict(passages.search(docs, parts), schema=schema)
+                    yield pa.RecordBatch.from_pydict(own.search(docs, parts), schema=schema)
                     docs, parts, held = [], [], 0
         if docs:
-            yield pa.RecordBatch.from_pydict(passages.search(docs, parts), schema=schema)
+            yield pa.RecordBatch.from_pydict(own.search(docs, parts), schema=schema)
 
     return corpus.select(F.col(doc_id).cast("bigint").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null").mapInArrow(run_shard, SPANS)
 

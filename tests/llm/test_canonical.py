@@ -34,3 +34,36 @@ def test_column(spark):
 
 def test_distance():
     assert [canonical.distance(*p) for p in (("", "ab"), ("abc", "acb"), ("kitten", "sitting"), ("a", "a"))] == [2, 1, 3, 0]
+
+
+def test_odd_entries_and_clashes():
+    """An act without a number is taken for a name, an empty name for none, and ways of writing that entries share are reported."""
+    names = canonical.Gazetteer([(1, "Lei das Rendas", "LR", "Lei", 1999), (2, "Código Civil", "CC", "Código", None), (3, "Cod. Civil", "cc", "Código", None), (4, "Lei n.º 5/2001", None, "Lei", 2001), (5, "Lei nº 5/01", None, "Lei", 2001), (6, "...", "", None, None)])
+    assert names.find("lei das rendas") == 1 and names.find("C. Civil") == 2 and names.find("Lei 5/2001") == 4 and names.find("...") == 0
+    assert ("cc", [2, 3]) in names.clashes() and ("Lei 5/2001", [4, 5]) in names.clashes()
+
+
+def test_candidate_lists_lose_nothing():
+    """Against a search that looks at every entry and every word."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["codigo", "civil", "penal", "processo", "trabalho", "estrada", "registo", "predial", "comercial", "notariado", "arrendamento", "urbano", "de", "do"]
+    entries = [(i, " ".join(dict.fromkeys(rng.choices(parts, k=rng.randint(1, 4)))), None, None, None) for i in range(1, 60)]
+    names, plain = canonical.Gazetteer(entries), EveryEntry(entries)
+    assert names.find("x") == plain.find("x") == 0
+
+    def worse(w):
+        at = rng.randrange(len(w))
+        return rng.choice([w[:at] + w[at + 1 :], w[:at] + rng.choice("aeiorst") + w[at:], w[:at] + rng.choice("aeiorst") + w[at + 1 :], w])
+
+    for _ in range(400):
+        s = canonical.normal(" ".join(worse(w) or w for w in rng.choice(entries)[1].split()))
+        assert names.similar(s) == plain.similar(s)
+        for t in s.split():
+            assert names._near(t) == {v: x for v in names._made["spelled"] if (x := canonical.alike(t, v, names.loose_least))}
+
+
+class EveryEntry(canonical.Gazetteer):
+    def _candidates(self, near):
+        return [at for at, (_, _, content) in enumerate(self._made["names"]) if content]
