@@ -17,22 +17,24 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 _encoders: dict = {}
 
 
-def encoder(path: str) -> object:
-    """The tokenizer of a rank file, made once per process."""
-    if path not in _encoders:
+def encoder(ranks: bytes) -> object:
+    """The tokenizer of a rank file's content, made once per process."""
+    key = hash(ranks)
+    if key not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _encoders[path] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+        _encoders[key] = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
+    return _encoders[key]
 
 
 def token_counts(corpus: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens); null texts have 0 tokens. ``vocabulary`` must be readable on every executor."""
+    """(doc_id, source, tokens); null texts have 0 tokens. ``vocabulary`` is read by the driver, which sends it (about 1 MB) to the executors."""
+    with open(vocabulary, "rb") as file:
+        ranks = corpus.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(ranks.value).encode_ordinary
         for batch in batches:
             sizes = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])

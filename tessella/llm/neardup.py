@@ -196,10 +196,18 @@ def _indexed(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - _least(sizes, 2 * threshold / (1 + threshold)) + 1
 
 
-def postings(sets: DataFrame, counts: object, threshold: float, spread: int, hot: int) -> DataFrame:
-    """(part, block): packed prefixes of the projections, each class once per task.
+def hot_cells(sketch: np.ndarray, hot: int, most: int) -> int:
+    """How many partitions, at most ``most``, the cells of the grams more frequent than ``hot`` get; several cells may share one, and are joined one after the other."""
+    sides = -(-sketch[0][sketch[0] > hot].astype(np.int64) // hot)
+    return int(min((sides**2).sum(), most))
 
-    A gram more frequent than ``hot`` is salted: probing entries go to one salt by class, indexed ones to all.
+
+def postings(sets: DataFrame, counts: object, threshold: float, spread: int, hot: int, extra: int) -> DataFrame:
+    """(part, cell, block): packed prefixes of the projections, each class once per task.
+
+    A gram that c > ``hot`` texts hold is split on both sides: with k = c / hot, probing entries take a row and
+    indexed ones a column of a grid of k x k cells by their class, and each goes to all cells of its line. Any two
+    meet in one cell, and a cell holds about ``hot`` entries of either kind however frequent the gram is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +221,12 @@ def postings(sets: DataFrame, counts: object, threshold: float, spread: int, hot
                     keys.append(key)
                     sets_.append(unpack(grams))
             if keys:
-                yield pa.RecordBatch.from_pydict(_blocks(keys, sets_, sketch, threshold, spread, hot), schema=pa.schema([("part", pa.int32()), ("block", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(_blocks(keys, sets_, sketch, threshold, spread, hot, extra), schema=pa.schema([("part", pa.int32()), ("cell", pa.int64()), ("block", pa.binary())]))
 
-    return sets.select("class", "grams").mapInArrow(run, "part int, block binary")
+    return sets.select("class", "grams").mapInArrow(run, "part int, cell bigint, block binary")
 
 
-def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, threshold: float, spread: int, hot: int) -> dict[str, list]:
+def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, threshold: float, spread: int, hot: int, extra: int) -> dict[str, list]:
     whole = np.array([len(s) for s in sets])
     gram = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), whole)
@@ -239,25 +247,24 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
     index = pos < _indexed(size, threshold)[own]
     keep = np.flatnonzero(probe & (count > 1))  # a gram counted once occurs once
     gram, count, own, pos, index = gram[keep], count[keep], own[keep], pos[keep], index[keep]
-    part = (cell[start] % BUCKETS)[own] + BUCKETS * ((mix(gram.astype(np.uint64) ^ ODD) % np.uint64(spread)).astype(np.int64))
+    place = (cell[start] % BUCKETS)[own] + BUCKETS * ((mix(gram.astype(np.uint64) ^ ODD) % np.uint64(spread)).astype(np.int64))
     role = usual = np.where(index, 3, 1).astype(np.uint8)
     much = np.flatnonzero(count > hot)
-    if len(much):  # salted: a copy of the indexed entry for each salt, the probing one in its own
-        salts = np.minimum(-(-count[much].astype(np.int64) // hot), spread)
-        class_hash = np.array([xxhash.xxh32_intdigest(keys[d]) for d in (cell[start] // BUCKETS)[own[much]]])
-        copy = np.repeat(much, salts)
-        salt = np.arange(len(copy)) - np.repeat(np.cumsum(salts) - salts, salts)
-        mine = salt == np.repeat(class_hash % salts, salts)
-        copy_role = (np.where(mine, 1, 0) + np.where(index[copy], 2, 0)).astype(np.uint8)
-        copy_part = part[copy] % BUCKETS + BUCKETS * ((part[copy] // BUCKETS + salt) % spread)
-        use = copy_role > 0
+    if len(much):
+        sides = -(-count[much].astype(np.int64) // hot)
+        line = np.array([xxhash.xxh32_intdigest(keys[d]) for d in (cell[start] // BUCKETS)[own[much]]]) % sides
+        copy, side, mine = np.repeat(much, sides), np.repeat(sides, sides), np.repeat(line, sides)
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(sides) - sides, sides)
+        grid = lambda row, column: BUCKETS * spread + (mix(mix((row * side + column).astype(np.uint64) + ODD) ^ gram[copy].astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+        both = index[copy]
         rest = np.setdiff1d(np.arange(len(gram)), much, assume_unique=True)
-        pick = np.concatenate([rest, copy[use]])
-        part, role = np.concatenate([part[rest], copy_part[use]]), np.concatenate([role[rest], copy_role[use]])
+        pick = np.concatenate([rest, copy, copy[both]])
+        place = np.concatenate([place[rest], grid(mine, other), grid(other, mine)[both]])
+        role = np.concatenate([role[rest], np.full(len(copy), 1, np.uint8), np.full(int(both.sum()), 2, np.uint8)])
         gram, own, pos, usual = gram[pick], own[pick], pos[pick], usual[pick]
-    out: dict[str, list] = {"part": [], "block": []}
-    order = np.argsort(part, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(order) else np.array([0])
+    out: dict[str, list] = {"part": [], "cell": [], "block": []}
+    order = np.argsort(place, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(place[order]) != 0, [True]])) if len(order) else np.array([0])
     key_bytes = np.frombuffer(b"".join(keys), "V16")
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         at = order[a:b]
@@ -268,7 +275,9 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
         salted = bool((role[at] != usual[at]).any())
         head = np.array([len(used), len(at), np.dtype(wide).itemsize, np.dtype(large).itemsize, salted], np.int64)
         fields = (head, key_bytes[docs], whole[docs].astype(large), size[used].astype(wide), parity[used], entries.astype(wide), gram[at], pos[at].astype(wide), *([role[at]] if salted else []))
-        out["part"].append(int(part[order[a]]))
+        to = int(place[order[a]])
+        out["part"].append(to if to < BUCKETS * spread else BUCKETS * spread + to % extra)
+        out["cell"].append(to)
         out["block"].append(b"".join(x.tobytes() for x in fields))
     return out
 
@@ -359,10 +368,10 @@ def candidates(blocks: DataFrame, threshold: float, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(part, []).append(block)
-        for own in held.values():
-            a, b = joined(own, threshold)
+            for cell, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.setdefault(cell, []).append(block)
+        while held:
+            a, b = joined(held.popitem()[1], threshold)
             yield pa.RecordBatch.from_pydict({"a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     return blocks.repartitionById(parts, F.col("part")).mapInArrow(run, "a binary, b binary").distinct()
@@ -387,7 +396,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, most_broadcast
     return full.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold - 1e-12)
 
 
-def near_duplicates(texts: DataFrame, *, doc_id: Column, text: Column, size: int = 5, threshold: float = 0.8, hot: int = 20_000, part_grams: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, *, doc_id: Column, text: Column, size: int = 5, threshold: float = 0.8, hot: int = 50_000, part_grams: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs of classes (a, b, similarity) with Jaccard similarity >= threshold, and (class, doc_id).
 
     Every pair of different shingle sets that reaches the threshold is found. Texts with equal sets share
@@ -400,8 +409,8 @@ def near_duplicates(texts: DataFrame, *, doc_id: Column, text: Column, size: int
     total = sets.agg(F.sum("n")).first()[0] or 0
     spread = max(1, -(-int(total) // (BUCKETS * part_grams)))
     counts = spark.sparkContext.broadcast(frequencies(sets, max(1, sets.rdd.getNumPartitions())))  # of fixed size
-    parts = BUCKETS * spread
-    found = materialize(candidates(postings(sets, counts, threshold, spread, hot), threshold, parts), "neardup-candidates")
+    extra = hot_cells(counts.value, hot, 2 * BUCKETS * spread)
+    found = materialize(candidates(postings(sets, counts, threshold, spread, hot, extra), threshold, BUCKETS * spread + extra), "neardup-candidates")
     return verified(found, sets, threshold), sets.select("class", "doc_id").distinct()
 
 
@@ -415,7 +424,7 @@ def duplicate_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def link_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(doc_id, class_id, copies, links): one row per document, with its class, the class's size and its number of linked classes."""
+    """(doc_id, class_id, copies, links): one row per document and class, with the class's smallest member, its size and its number of linked classes."""
     links = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
-    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
-    return members.join(copies, "class").join(links, "class", "left").select("doc_id", F.lower(F.hex("class")).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    copies = members.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    return members.join(copies, "class").join(links, "class", "left").select("doc_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

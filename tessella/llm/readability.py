@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -41,7 +41,7 @@ def measure(text: str | None) -> tuple[float, ...] | None:
     return (n / s, float(max(counts)), text.count(",") / s, sum(w in SUBORDINATORS for w in low) / s, sum(x > LONG for x in sizes) / n, sum(x > VERY_LONG for x in sizes) / n, sum(sizes) / n, len(set(low)) / n**0.5)
 
 
-#: What is assumed before any grade is seen: longer sentences and more long words are harder, as in published formulas.
+#: The published assumption that longer sentences and more long words are harder: used only where next to nothing is graded.
 ASSUMED = np.array([1.0, 0, 0, 0, 1.0, 0, 0, 0])
 
 
@@ -55,6 +55,7 @@ class Ranker:
     knots: np.ndarray
     levels: np.ndarray
     middle: float  # the mean level of the graded documents
+    assumed: bool = False  # whether the weights lean on ASSUMED
 
     def standard(self, features: np.ndarray) -> np.ndarray:
         return (np.log1p(features) - self.mean) / self.scale
@@ -83,11 +84,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return knots, values
 
 
-def fit(features: np.ndarray, grades: np.ndarray, *, pairs: int = 200_000, rounds: int = 50, trust: float = 10.0, seed: int = 7) -> Ranker:
+def fit(features: np.ndarray, grades: np.ndarray, *, pairs: int = 200_000, rounds: int = 50, ridge: float = 1.0, prior: float = 0.0, seed: int = 7) -> Ranker:
     """Logistic regression on differences of documents with different grades, then isotonic calibration.
 
-    The weights start from ASSUMED, which counts as much as ``trust`` documents: the pairs together weigh as much as
-    the graded documents they come from, so that a handful of noisy grades can't turn the ranking around.
+    The pairs together weigh as much as the graded documents they come from. The weights come from the grades alone,
+    drawn to 0 with the weight of ``ridge`` documents; ``prior`` > 0 draws them to ASSUMED instead, with its own weight.
     """
     logs = np.log1p(features)
     mean, scale = logs.mean(0), logs.std(0)
@@ -100,17 +101,18 @@ def fit(features: np.ndarray, grades: np.ndarray, *, pairs: int = 200_000, round
     up = np.where((grades[a] > grades[b])[:, None], x[a] - x[b], x[b] - x[a])
     gap = np.abs(grades[a] - grades[b])
     gap *= len(x) / max(1e-9, gap.sum())
-    weights = ASSUMED.copy()
+    centre, pull = (ASSUMED, prior) if prior > 0 else (np.zeros(len(FEATURES)), ridge)
+    weights = centre.copy()
     for _ in range(rounds if len(up) else 0):
-        p = 1 / (1 + np.exp(up @ weights))
-        slope = up.T @ (gap * p) - trust * (weights - ASSUMED)
-        curve = (up * (gap * p * (1 - p))[:, None]).T @ up + trust * np.eye(len(weights))
+        p = 1 / (1 + np.exp(np.clip(up @ weights, -500, 500)))
+        slope = up.T @ (gap * p) - pull * (weights - centre)
+        curve = (up * (gap * p * (1 - p))[:, None]).T @ up + pull * np.eye(len(weights))
         step = np.linalg.solve(curve, slope)
         weights += step
         if np.abs(step).max() < 1e-6:
             break
     knots, levels = isotonic(x @ weights, grades, np.ones(len(x)))
-    return Ranker(mean, scale, weights, knots, levels, float(np.interp(x @ weights, knots, levels).mean()))
+    return Ranker(mean, scale, weights, knots, levels, float(np.interp(x @ weights, knots, levels).mean()), prior > 0)
 
 
 def measured(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", ranker: Ranker | None = None) -> DataFrame:
@@ -134,35 +136,86 @@ def measured(corpus: DataFrame, doc_id: str = "doc_id", text: str = "text", rank
     return corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").mapInArrow(run, schema)
 
 
-def train(corpus: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = 4000, seed: int = 7) -> Ranker | None:
+def graded_features(corpus: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = 4000, seed: int = 7) -> DataFrame:
+    """(doc_id, features, grade) of graded documents with words: the ``sample`` with the smallest hash, raters averaged."""
+    graded = labels.where(F.col(grade).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(grade).alias("grade"))
+    chosen = graded.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by sample
+    return measured(texts).join(F.broadcast(chosen), "doc_id").where("words_per_sentence is not null")
+
+
+def train(corpus: DataFrame, labels: DataFrame, *, least: int = 30, prior: float = 10.0, seed: int = 7, **options: object) -> Ranker | None:
     """A ranker from graded documents; None where fewer than two grades are known.
 
     Raters are averaged. Of the graded documents the ``sample`` with the smallest hash are
     used: the bound on what the driver gets. Null grades and unknown documents are left out.
+    Fewer than ``least`` graded documents say too little by themselves: only then the weights
+    lean on ASSUMED as on ``prior`` documents more, and the ranker says so (``assumed``).
     """
-    graded = labels.where(F.col(grade).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.avg(grade).alias("grade"))
-    chosen = graded.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-    texts = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by sample
-    features = measured(texts).join(F.broadcast(chosen), "doc_id").where("words_per_sentence is not null")
-    rows = features.select(*FEATURES, "grade").collect()
+    rows = graded_features(corpus, labels, seed=seed, **options).select(*FEATURES, "grade").collect()
     if len({r.grade for r in rows}) < 2:
         return None
     table = np.array([tuple(r) for r in rows], float)
     table = table[np.lexsort(table.T)]  # the same order on every cluster
-    return fit(table[:, :-1], table[:, -1], seed=seed)
+    return fit(table[:, :-1], table[:, -1], prior=prior if len(rows) < least else 0.0, seed=seed)
 
 
 def reading_levels(corpus: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """doc_id, features, score, level (1 easiest; null without words) and the graded documents' middle level.
+    """doc_id, features, score, level (1 easiest; null without words), the graded documents' middle level, and ``assumed``.
 
-    Without usable labels score, level and middle are null.
+    Without usable labels score, level, middle and assumed are null.
     """
     names = {k: v for k, v in options.items() if k in ("doc_id", "text")}
     ranker = train(corpus, labels, **options)
     if ranker is None:
         nothing = F.lit(None).cast("double")
-        return measured(corpus, **names).select("*", nothing.alias("score"), nothing.alias("level"), nothing.alias("middle"))
-    return measured(corpus, **names, ranker=ranker).withColumn("middle", F.lit(ranker.middle))
+        return measured(corpus, **names).select("*", nothing.alias("score"), nothing.alias("level"), nothing.alias("middle"), F.lit(None).cast("boolean").alias("assumed"))
+    return measured(corpus, **names, ranker=ranker).withColumn("middle", F.lit(ranker.middle)).withColumn("assumed", F.lit(ranker.assumed))
+
+
+def pair_accuracy(score: np.ndarray, grades: np.ndarray) -> float:
+    """The share of pairs with different grades that the score puts in the right order (ties count half), by counting ranks."""
+    order = np.argsort(score, kind="stable")
+    values, place = np.unique(score[order], return_inverse=True)
+    right, total = 0.0, 0.0
+    kinds = np.unique(grades)
+    below = np.zeros(len(values))  # documents of lower grades at each score
+    for g in kinds:
+        own = np.bincount(place[grades[order] == g], minlength=len(values)).astype(float)
+        less = np.concatenate([[0], np.cumsum(below)[:-1]])
+        right += float((own * (less + below / 2)).sum())
+        total += own.sum() * below.sum()
+        below += own
+    return right / total if total else 0.5
+
+
+def held_out(corpus: DataFrame, labels: DataFrame, *, shuffles: int = 9, seed: int = 7, **options: object) -> dict[str, float]:
+    """How well a ranker fitted on one half of the graded documents (by hash of the id) orders and grades the other half.
+
+    tested: documents of the other half; accuracy: share of its pairs in the right order; error: mean distance of
+    level and grade; guess: the same for the first half's mean grade; shuffled: mean accuracy of rankers fitted on
+    shuffled grades, which should be about a half.
+    """
+    rows = graded_features(corpus, labels, seed=seed, **options).select(*FEATURES, "grade", (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8").cast("int").alias("half")).collect()
+    table = np.array([tuple(r) for r in rows], float).reshape(-1, len(FEATURES) + 2)
+    table = table[np.lexsort(table.T)]
+    one, two = table[table[:, -1] == 1], table[table[:, -1] == 0]
+    if len(np.unique(one[:, -2])) < 2 or len(np.unique(two[:, -2])) < 2:
+        return {"tested": len(two), "accuracy": 0.5, "error": float("nan"), "guess": float("nan"), "shuffled": 0.5}
+    ranker = fit(one[:, :-2], one[:, -2], seed=seed)
+    score, truth = ranker.score(two[:, :-2]), two[:, -2]
+    rng = np.random.default_rng(seed)
+    noise = [pair_accuracy(fit(one[:, :-2], rng.permutation(one[:, -2]), seed=seed).score(two[:, :-2]), truth) for _ in range(shuffles)]
+    return {"tested": len(two), "accuracy": pair_accuracy(score, truth), "error": float(np.abs(ranker.level(score) - truth).mean()), "guess": float(np.abs(one[:, -2].mean() - truth).mean()), "shuffled": float(np.mean(noise))}
+
+
+def calibration(levels: DataFrame, width: float = 0.02) -> DataFrame:
+    """(documents, without_level, rising): whether levels never fall as scores rise, over score bins of a width; a bin is one row, however many documents it holds."""
+    bins = levels.where("score is not null").groupBy(F.floor(F.col("score") / width).alias("bin")).agg(F.min("level").alias("low"), F.max("level").alias("high"))
+    before = F.lag("high").over(Window.partitionBy(F.lit(1)).orderBy("bin"))  # some hundred bins
+    rising = bins.withColumn("before", before).agg(F.coalesce(F.bool_and(F.coalesce(F.col("low") >= F.col("before"), F.lit(True))), F.lit(True)).alias("rising"))
+    counts = levels.agg(F.count("*").alias("documents"), F.count_if(F.col("level").isNull()).alias("without_level"))
+    return counts.join(F.broadcast(rising), F.lit(True))  # one row each
 
 
 def extreme_bands(levels: DataFrame) -> DataFrame:

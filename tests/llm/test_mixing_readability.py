@@ -93,3 +93,23 @@ def test_few_contrary_grades_do_not_turn_the_ranking(spark):
     score = {r.doc_id: r.score for r in levels.collect()}
     bands = {r.doc_id: r.reading_band for r in readability.extreme_bands(levels).collect()}
     assert score[902] < score[903] and bands[902] == "easy" and bands[903] == "hard"
+
+
+def test_grades_decide(spark):
+    """Above a few grades nothing is assumed: turned grades turn the ranking, shuffled ones lose it."""
+    rows, labels = graded(400, 6)
+    c = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, grade int, rater string")
+    got = readability.held_out(c, lab)
+    assert got["tested"] > 150 and got["accuracy"] > 0.85 and got["error"] < 0.8 < got["guess"] and abs(got["shuffled"] - 0.5) < 0.2
+    right, turned = readability.train(c, lab), readability.train(c, lab.selectExpr("doc_id", "6 - grade as grade"))
+    assert not right.assumed and right.weights @ turned.weights < 0
+    assert readability.train(c, lab.limit(20)).assumed
+    assert tuple(readability.calibration(readability.reading_levels(c, lab)).first()) == (400, 0, True)
+
+
+def test_pair_accuracy_against_all_pairs():
+    rng = np.random.default_rng(2)
+    score, grades = rng.integers(0, 9, 80).astype(float), rng.integers(1, 6, 80).astype(float)
+    pairs = [(i, j) for i in range(80) for j in range(80) if grades[i] > grades[j]]
+    assert abs(readability.pair_accuracy(score, grades) - np.mean([(score[i] > score[j]) + 0.5 * (score[i] == score[j]) for i, j in pairs])) < 1e-12

@@ -73,3 +73,26 @@ def test_packing():
 def test_words_do_not_depend_on_neighbours():
     a = neardup.shingle_sets(["Um dois três quatro", "x", "", "um DOIS, três; quatro_"], 3)
     assert (a[0] == a[3]).all() and len(a[1]) == len(a[2]) == 0 and (neardup.shingle_sets(["um dois três quatro"], 3)[0] == a[0]).all()
+
+
+def test_frequent_gram_is_split_on_both_sides(spark):
+    """One shingle in a third of the texts: every cell gets a small part of either side, and no pair is lost."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        own = " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(6))
+        rows.append((f"d{i:03}", f"hot one two three {own}" if i % 3 == 0 else own + " " + own[::-1]))
+    rows += [(f"e{i:03}", f"hot one two three {rows[3 * i][1].split(maxsplit=4)[4]} end") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, t string").repartition(3)
+    pairs, members = neardup.near_duplicates(df, doc_id=F.col("doc_id"), text=F.col("t"), size=3, threshold=0.6, hot=20, part_grams=400)
+    assert {tuple(r) for r in neardup.duplicate_pairs(pairs, members).collect()} == brute(rows, 3, 0.6)
+    sets = [s for s in neardup.shingle_sets([t for _, t in rows], 3)]
+    small = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+    sketch = np.zeros((neardup.SKETCH_ROWS, 1 << neardup.SKETCH_BITS), np.uint32)
+    for row, cells in zip(sketch, neardup._cells(np.concatenate(small))):
+        row += np.bincount(cells, minlength=len(row)).astype(np.uint32)
+    out = neardup._blocks([i.to_bytes(16, "big") for i in range(len(rows))], small, sketch, 0.6, 2, 20, neardup.hot_cells(sketch, 20, 32))
+    for cell, block in zip(out["cell"], out["block"]):
+        if cell >= neardup.BUCKETS * 2:
+            role = neardup._unpack(block, 0.6)[6]
+            assert (role & 1).sum() < 60 and (role & 2).sum() < 60  # of 260
