@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from functools import cache
 
@@ -20,7 +21,6 @@ STOPWORDS = frozenset(
     "a ao aos aquela aquelas aquele aqueles aquilo as até com como da das de dela delas dele deles depois do dos e ela elas ele eles em entre era eram essa essas esse esses esta estas este estes eu foi foram há isso isto "
     "já lhe lhes mais mas me mesmo meu minha muito na nas nem no nos nós não o os ou para pela pelas pelo pelos por qual quando que quem se sem ser seu seus só são sua suas também te tem tinha tu um uma umas uns você à às é".split()
 )
-LEXEMES = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())]))
 
 
 @cache
@@ -41,7 +41,10 @@ def lexemes(text: str, stemmed: bool = True) -> list[tuple[str, int]]:
 
 @dataclass(frozen=True)
 class Term:
-    words: tuple[str, ...]  # more than one: a phrase
+    """A word, or a phrase of several: each with its distance from the first, which counts stop words too."""
+
+    words: tuple[str, ...]
+    offsets: tuple[int, ...] = (0,)
 
 
 @dataclass(frozen=True)
@@ -58,18 +61,16 @@ def parse(text: str, stemmed: bool = True) -> Query:
         if word == "OR" and not minus:
             groups.append(([], []))
             continue
-        found = tuple(x for x, _ in lexemes(phrase or word, stemmed))
+        found = lexemes(phrase or word, stemmed)
         if found:
-            groups[-1][1 if minus else 0].append(Term(found))
+            groups[-1][1 if minus else 0].append(Term(tuple(x for x, _ in found), tuple(p - found[0][1] for _, p in found)))
     return Query(tuple((tuple(a), tuple(b)) for a, b in groups if a or b))
 
 
 def _places(term: Term, at: dict[str, list[int]]) -> list[int]:
-    first = at.get(term.words[0], [])
-    if len(term.words) == 1:
-        return first
-    rest = [set(at.get(w, ())) for w in term.words[1:]]
-    return [p for p in first if all(any(q in s for q in (p + i, p + i + 1, p + i + 2)) if i else True for i, s in enumerate(rest, 1))]
+    """Where a term begins: the words of a phrase stand at their exact distances."""
+    rest = [(set(at.get(w, ())), o) for w, o in zip(term.words[1:], term.offsets[1:], strict=True)]
+    return [p for p in at.get(term.words[0], []) if all(p + o in places for places, o in rest)]
 
 
 def score(query: Query, at: dict[str, list[int]]) -> float | None:
@@ -140,12 +141,62 @@ def may_match(text: Column, query: Query) -> Column:
     return any_
 
 
+ENTRIES = "array<struct<lexeme:string,positions:array<int>>>"
+
+
 def postings(docs: DataFrame, text: Column, stemmed: bool = True) -> DataFrame:
-    """(lexeme, doc_id, positions): the inverted lists, to be written partitioned or bucketed by lexeme."""
+    """(lexeme, doc_id, positions): the inverted lists. Ids must be unique, so a text makes its own rows and nothing is shuffled."""
 
-    @F.pandas_udf(LEXEMES)
+    @F.pandas_udf(ENTRIES)
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"lexeme": x, "pos": p} for x, p in lexemes(t, stemmed)] if t is not None else [])
+        out = []
+        for t in texts:
+            at: dict[str, list[int]] = {}
+            for x, p in lexemes(t, stemmed) if t is not None else ():
+                at.setdefault(x, []).append(p)
+            out.append([{"lexeme": x, "positions": ps} for x, ps in at.items()])
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return docs.select("doc_id", F.explode(split(text)).alias("x")).select("x.lexeme", "doc_id", "x.positions")
+
+
+#: Parts of a stored index.
+PARTS = 64
+
+
+def write_index(docs: DataFrame, text: Column, path: str, stemmed: bool = True) -> None:
+    """The postings stored by part of their lexeme, sorted by lexeme within: a query reads the parts and row groups of its own words.
 
-    rows = docs.select("doc_id", F.explode(split(text)).alias("x")).select("doc_id", "x.lexeme", "x.pos")
-    return rows.groupBy("lexeme", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    Rows are placed by range of (part, lexeme, id), so that a word of very many documents is written by many tasks.
+    """
+    rows = postings(docs, text, stemmed).withColumn("part", F.crc32(F.col("lexeme").cast("binary")) % PARTS)
+    rows.repartitionByRange("part", "lexeme", "doc_id").sortWithinPartitions("part", "lexeme", "doc_id").write.partitionBy("part").parquet(path)
+
+
+def ranked_by_index(index: DataFrame, query: str, limit: int | None, *, kept: DataFrame | None = None, ids: DataFrame | None = None, cap: int | None = None, stemmed: bool = True) -> DataFrame:
+    """As ``ranked``, from stored postings: only the lists of the query's own words are read and grouped by document.
+
+    ``kept`` (doc_id) restricts the documents. A query with an alternative that only excludes words needs ``ids``, the ids
+    of all documents that have a text, as no list names the documents without a word.
+    """
+    parsed = parse(query, stemmed)
+    words = sorted({w for side in parsed.alternatives for terms in side for t in terms for w in t.words})
+    parts = sorted({zlib.crc32(w.encode()) % PARTS for w in words})
+
+    @F.pandas_udf(T.DoubleType())
+    def scores(entries: pd.Series) -> pd.Series:
+        held = ({e["lexeme"]: [int(p) for p in e["positions"]] for e in es} if es is not None else {} for es in entries)
+        return pd.Series([score(parsed, at) for at in held], index=entries.index, dtype="float64")
+
+    lists = index.where(F.col("part").isin(parts) & F.col("lexeme").isin(words))
+    if kept is not None:
+        lists = lists.join(kept.select("doc_id"), "doc_id", "left_semi")
+    found = lists.groupBy("doc_id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("entries"))  # an entry per word of the query
+    if any(not wanted for wanted, _ in parsed.alternatives):
+        if ids is None:
+            raise ValueError("a query that only excludes words needs the ids of all documents")
+        found = (ids if kept is None else ids.join(kept.select("doc_id"), "doc_id", "left_semi")).select("doc_id").join(found, "doc_id", "left")
+    found = found.select("doc_id", scores("entries").alias("score")).where(F.col("score").isNotNull())
+    if cap is not None:
+        found = found.orderBy("doc_id").limit(cap)
+    return found if limit is None else found.orderBy(F.desc("score"), "doc_id").limit(limit)

@@ -4,10 +4,12 @@ Parents and children become one long table of tagged events: a parent arrives
 (+1), leaves (-1), or a child refers to it (0). A reference is an orphan when
 the running count of its key's present parents is not positive at its time.
 
-A key may hold a third of all rows, so no step gathers the events of a key.
-Net changes are summed per key and period with map-side partial aggregation,
-running totals are taken over those sums (one row per key and period), and only
-the events of one key *and period* meet in a window.
+A key may hold a third of all rows, so no step gathers the events of a key. Events
+are first summed per key and moment, with map-side partial aggregation: whoever
+refers to a key at one moment gets one answer, and references without a time are
+one moment, however many there are. Net changes are summed again per key and period,
+running totals are taken over those sums (one row per key and period), and only the
+moments of one key *and period* meet in a window. The answers then join the references.
 """
 
 from __future__ import annotations
@@ -51,25 +53,25 @@ def find_orphans(
     key or load time are never present. A row delivered twice (same id, key and time)
     is reported once. Empty tables: no parents make every reference an orphan, no
     children give no rows.
-    ``period`` is the grain of the pre-aggregation and does not affect the result.
+    ``period`` is the grain of the pre-aggregation and does not affect the result: a finer
+    one makes the windows smaller where a key has very many moments a day.
     """
     far = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
     time = lambda c: c.cast("timestamp_ntz")
-    kids = children.select(child_key.alias("key"), F.coalesce(time(child_time), far).alias("at"), F.lit(0).alias("change"), F.col(child_id).alias("ref"), F.lit(1).alias("is_ref"))
+    refs = children.select(child_key.alias("key"), F.coalesce(time(child_time), far).alias("at"), F.col(child_id).alias("ref")).where("key is not null")
     gone = F.lit(None).cast("timestamp_ntz") if withdrawn is None else time(withdrawn)
-    stays = parents.select(parent_key.alias("key"), time(loaded).alias("start"), gone.alias("end")).where("start is not null and (end is null or end > start)")
-    kind = kids.schema["ref"].dataType
-    arrive = stays.select("key", F.col("start").alias("at"), F.lit(1).alias("change"), F.lit(None).cast(kind).alias("ref"), F.lit(0).alias("is_ref"))
-    leave = stays.where("end is not null").select("key", F.col("end").alias("at"), F.lit(-1).alias("change"), F.lit(None).cast(kind).alias("ref"), F.lit(0).alias("is_ref"))
-    events = kids.unionByName(arrive).unionByName(leave).where("key is not null").withColumn("period", F.date_trunc(period, "at"))
+    stays = parents.select(parent_key.alias("key"), time(loaded).alias("start"), gone.alias("end")).where("key is not null and start is not null and (end is null or end > start)")
+    tagged = lambda rows, at, change, asked: rows.select("key", F.col(at).alias("at"), F.lit(change).alias("change"), F.lit(asked).alias("asked"))
+    events = tagged(refs, "at", 0, 1).unionByName(tagged(stays, "start", 1, 0)).unionByName(tagged(stays.where("end is not null"), "end", -1, 0))
+    moments = events.groupBy("key", "at").agg(F.sum("change").alias("change"), F.max("asked").alias("asked")).withColumn("period", F.date_trunc(period, "at"))
 
-    net = events.groupBy("key", "period").agg(F.sum("change").alias("net"), F.max("is_ref").alias("asked"))
+    net = moments.groupBy("key", "period").agg(F.sum("change").alias("net"), F.max("asked").alias("any"))
     before = Window.partitionBy("key").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    opening = net.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0))).where("asked = 1").select("key", "period", "opening")
+    opening = net.withColumn("opening", F.coalesce(F.sum("net").over(before), F.lit(0))).where("any = 1").select("key", "period", "opening")
 
-    within = Window.partitionBy("key", "period").orderBy("at", "is_ref").rowsBetween(Window.unboundedPreceding, 0)
-    present = events.join(opening, ["key", "period"]).withColumn("present", F.col("opening") + F.sum("change").over(within))
-    lost = present.where("is_ref = 1 and present <= 0").groupBy("key", "period", "ref", "at").agg(F.lit(1).alias("one"))
+    within = Window.partitionBy("key", "period").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    present = moments.join(opening, ["key", "period"]).withColumn("present", F.col("opening") + F.sum("change").over(within))
+    lost = refs.join(present.where("asked = 1 and present <= 0").select("key", "at"), ["key", "at"], "left_semi").distinct()
     return lost.select(F.col("ref").alias(child_id), "key", F.when(F.col("at") != far, F.col("at")).alias("at"))
 
 

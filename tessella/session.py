@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,23 +34,62 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle: int = 8) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Where none is set and everything runs in this process, as in tests, a temporary one is set, and deleted at the end.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tessella-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
+    own = tempfile.mkdtemp(prefix="tessella-")
+    atexit.register(shutil.rmtree, own, True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
+
+
+_scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
-    Unlike a local checkpoint the table outlives any executor.
+    Unlike a local checkpoint the table outlives any executor. It stays until ``temporary`` ends around
+    the call, or ``clean_up`` finds it old enough.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple[object, object]:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A scope whose materialized tables are deleted at its end; results must be written before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            files, where = _folder(spark, path)
+            files.delete(where, True)
+
+
+def clean_up(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Delete the tables in the shared folder that have not changed for a while; returns how many."""
+    files, where = _folder(spark, f"{shared_dir(spark)}/tessella")
+    if not files.exists(where):
+        return 0
+    old = [f.getPath() for f in files.listStatus(where) if f.getModificationTime() < (time.time() - older_than_hours * 3600) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)

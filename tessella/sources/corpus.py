@@ -34,6 +34,13 @@ def with_vectors(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame
     return docs
 
 
+def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, vector): the documents' vectors in long form, by one join whatever the number of fields."""
+    keys = [F.struct(F.lit(n).alias("source"), ((F.col("doc_id") * a + b) % MODULUS).alias("vec_id")) for n, (a, b) in VECTOR_FIELDS.items()]
+    wanted = table(spark, folder, "documents").select("doc_id", F.explode(F.array(*keys)).alias("x")).select("doc_id", "x.source", "x.vec_id")
+    return wanted.join(table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("doc_id", "source", "vector")
+
+
 def stored_vector(spark: SparkSession, folder: str, vec_id: int) -> list[float]:
     """One vector, to stand for an embedded query."""
     return [float(x) for x in table(spark, folder, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]]

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,74 @@ def test_facets(spark):
     assert cache.get("k", make) == 2
     with pytest.raises(ValueError):
         facets.domains(d, limit=0)
+
+
+def test_phrase_words_stand_at_exact_distances():
+    at = lambda t, stemmed=True: {x: [p for y, p in fts.lexemes(t, stemmed) if y == x] for x, _ in fts.lexemes(t, stemmed)}
+    hit = lambda q, t: fts.score(fts.parse(q), at(t)) is not None
+    assert hit('"prédio rústico"', "o prédio, rústico!") and not hit('"prédio rústico"', "prédio muito grande rústico") and not hit('"prédio rústico"', "prédio grande rústico")
+    assert hit('"recurso de revista"', "um recurso de revista") and hit('"recurso de revista"', "recurso da revista") and not hit('"recurso de revista"', "recurso revista")
+    assert hit("prédio-rústico", "prédio rústico") and not hit('-"prédio rústico"', "prédio rústico") and hit('-"prédio rústico"', "rústico prédio")
+
+
+def test_index_agrees_with_scan(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["prédio", "rústico", "muro", "de", "obra", "obras", "licença", "o", "prazo"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9))) if i % 9 else None) for i in range(150)] + [(900, "muro " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, t string").repartition(3)
+    fts.write_index(docs, F.col("t"), str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    kept = docs.where("doc_id % 2 = 0")
+    for q in ("muro", '"prédio rústico" OR obra -prazo', "licença de obras", "-muro", '"muro de obra" OR -prédio', "xyz", "", "de"):
+        for some in (None, kept):
+            want = sorted(map(tuple, fts.ranked(docs if some is None else some, F.col("t"), q, None).collect()))
+            assert sorted(map(tuple, fts.ranked_by_index(index, q, None, kept=some, ids=docs.where("t is not null")).collect())) == want
+    capped = [r.doc_id for r in fts.ranked_by_index(index, "muro", None, cap=3).collect()]
+    assert sorted(capped) == sorted(r.doc_id for r in fts.ranked(docs, F.col("t"), "muro", None).collect())[:3]
+    with pytest.raises(ValueError):
+        fts.ranked_by_index(index, "-muro", None)
+
+
+def vectors(n, groups, seed, dim=16):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, dim))
+    return [(i, s, (middle[i % groups] + 0.3 * rng.normal(size=dim)).tolist()) for i in range(n) for s in search.VECTOR_FIELDS]
+
+
+def test_vector_ranking_against_plain_model(spark):
+    rows = vectors(300, 5, 1) + [(900, "embedding", None), (901, "embedding", [0.0] * 16), (902, "embedding", [1.0]), (903, "embedding", [None] * 16)]
+    rows += [(950, s, rows[0][2]) for s in search.VECTOR_FIELDS]  # a tie
+    df = spark.createDataFrame(rows, "doc_id long, source string, vector array<double>").repartition(4)
+    q = rows[0][2]
+    cos = lambda v: round(float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)), 7)
+    for r, want in ((search.vector_lists(df, ["embedding", "embedding_ratio"], q, 7), ("embedding", "embedding_ratio")),):
+        got = {(x.source, x.rank): (x.doc_id, x.score) for x in r.collect()}
+        for s in want:
+            best = sorted(((-cos(v), d) for d, t, v in rows if t == s and v and len(v) == 16 and None not in v and any(v)))[:7]
+            assert [got[(s, i)] for i in range(1, 8)] == [(d, -c) for c, d in best]
+    assert search.vector_lists(df.limit(0), ["embedding"], q, 3).count() == 0
+
+
+def test_vector_index_prunes_and_fills(spark, tmp_path):
+    """On clustered vectors two of sixteen lists hold the nearest; under a filter lists are added until the limit is filled."""
+    rows = vectors(1600, 16, 3)
+    df = spark.createDataFrame(rows, "doc_id long, source string, vector array<double>")
+    index = search.VectorIndex.build(df, str(tmp_path / "v"), 16, 2)
+    assert index.rows.count() == len(rows)
+    hits = 0
+    for d in range(0, 1600, 100):
+        q = rows[3 * d][2]
+        exact = {(r.source, r.doc_id) for r in search.vector_lists(df, list(search.VECTOR_FIELDS), q, 10).collect()}
+        hits += len(exact & {(r.source, r.doc_id) for r in index.lists(list(search.VECTOR_FIELDS), q, 10).collect()})
+    assert hits / (16 * 30) >= 0.9
+    assert "PartitionFilters: [list" in index.near(rows[0][2], 2)._jdf.queryExecution().toString()
+    kept = df.where("doc_id % 16 = 5").select("doc_id").distinct()
+    got = index.lists(["embedding"], rows[0][2], 60, kept).collect()
+    assert len(got) == 60 and all(r.doc_id % 16 == 5 for r in got)
+
+
+def test_hybrid_plan_joins_once_per_need(spark):
+    from tessella.plans import search_queries
+
+    plan = search_queries.h8_hybrid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4

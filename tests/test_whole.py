@@ -8,7 +8,6 @@ from collections import Counter
 import pytest
 
 from tessella.functions.text import LAW_NAMES
-from tessella.llm import leakage
 from tessella.operators import dedup, models, search
 from tessella.plans import audit_queries, search_queries, text_queries
 from tessella.sources.corpus import serving
@@ -85,11 +84,3 @@ def test_keyset_scan_reads_every_page(spark):
     rows = spark.createDataFrame([(i,) for i in [*ids, *ids[:30], None]], "doc_id string")
     got = dedup.keyset_pages(rows, "doc_id", 7).collect()
     assert len(got) == 100 and {r.doc_id: r.page for r in got} == pages
-
-
-@pytest.mark.parametrize("more", [5, 20, 700])
-def test_shard_without_the_last_words_of_the_test_set(spark, more):
-    first = [f"a{i}" for i in range(12)]
-    items = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(f"b{i}" for i in range(more)))], "item_id long, text string")
-    docs = spark.createDataFrame([(7, "x " + " ".join(first) + " y")], "doc_id long, text string")
-    assert [tuple(r) for r in leakage.leaked_spans(docs, items).collect()] == [(7, 1, 1, 12, 12)]
