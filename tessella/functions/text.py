@@ -194,7 +194,8 @@ def json_reply(raw: Column) -> Column:
 
 def header_field(text: Column, key: str, within: int = 4000) -> Column:
     """The lines under ``key:`` up to the next line that is a label, within the page head; null if absent."""
-    found = F.regexp_extract(F.left(text, F.lit(within)), rf"(?s)(?:^|\n){re.escape(key)}:?[ \t]*\n(.*?)(?=\n[^\n]{{1,60}}:[ \t]*(?:\n|$)|$)", 1)
+    head = F.regexp_replace(F.left(text, F.lit(within)), "\\r\\n?", "\n")
+    found = F.regexp_extract(head, rf"(?s)(?:^|\n){re.escape(key)}:?[ \t]*\n(.*?)(?=\n[^\n]{{1,60}}:[ \t]*(?:\n|$)|$)", 1)
     return filled(F.trim(found))
 
 

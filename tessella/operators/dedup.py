@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialize
+from tessella.session import delete, exists, materialize, rename
 
 
 def duplicate_stats(rows: DataFrame, group: str, key: str) -> DataFrame:
@@ -71,13 +73,23 @@ def missing(listed: DataFrame, have: DataFrame, key: str) -> DataFrame:
 
 
 def rewrite_deduplicated(rows: DataFrame, key: str, order: list[str], path: str) -> int:
-    """Write keep-last rows to a new path and verify the count of ids before the caller swaps paths."""
-    wanted = rows.where(F.col(key).isNotNull()).select(key).distinct().count()
-    keep_last(rows.where(F.col(key).isNotNull()), key, order).drop("first_seen").write.parquet(path)
-    written = rows.sparkSession.read.parquet(path).count()
-    if written != wanted:
-        raise ValueError(f"{written} rows written, {wanted} ids expected")
-    return written
+    """Write keep-last rows to a staging folder, verify the count of ids, and only then put it in the place of ``path``.
+
+    The old table is moved aside first and deleted last, so one of both is there at any time; a failed check leaves it untouched.
+    """
+    spark = rows.sparkSession
+    kept = rows.where(F.col(key).isNotNull())
+    wanted = kept.select(key).distinct().count()
+    staging, aside = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    keep_last(kept, key, order).drop("first_seen").write.parquet(staging)
+    written = spark.read.parquet(staging).agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids")).first()
+    if tuple(written) != (wanted, wanted):
+        raise ValueError(f"{written.n} rows of {written.ids} ids written, {wanted} ids expected")
+    if exists(spark, path):
+        rename(spark, path, aside)
+    rename(spark, staging, path)
+    delete(spark, aside)
+    return wanted
 
 
 def listing_pages(found: DataFrame, page: str, new: str, most_empty: int = 3) -> DataFrame:
@@ -88,5 +100,3 @@ def listing_pages(found: DataFrame, page: str, new: str, most_empty: int = 3) ->
     run = F.sum((F.col(new) == 0).cast("int")).over(Window.partitionBy("_island").orderBy(page))
     cut = streak.withColumn("_run", run).agg(F.min(F.when(F.col("_run") >= most_empty, F.col(page))).alias("stop"))
     return found.join(F.broadcast(cut), F.col("stop").isNull() | (F.col(page) <= F.col("stop"))).drop("stop")  # one row
-
-

@@ -16,9 +16,10 @@ def stats(docs: DataFrame, fields: list[str]) -> DataFrame:
     return docs.agg(F.count("*").alias("total"), *[F.count(f).alias(f"with_{f}") for f in fields])
 
 
-def value_counts(docs: DataFrame, field: str, limit: int | None = None) -> DataFrame:
-    """(value, count) of the values that are not null, most frequent first, ties by value."""
-    out = docs.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value")
+def value_counts(docs: DataFrame, field: str, limit: int | None = None, by_value: bool = False) -> DataFrame:
+    """(value, count) of the values that are not null, most frequent first, ties by value; or the greatest value first."""
+    order = [F.desc("value")] if by_value else [F.desc("count"), F.col("value")]
+    out = docs.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("count")).orderBy(*order)
     return out if limit is None else out.limit(limit)
 
 

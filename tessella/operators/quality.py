@@ -84,6 +84,14 @@ def rolling_rate(samples: DataFrame, time: str, value: str, window: int = 30, gr
     return step.withColumn("rate", F.try_divide(F.sum("_dv").over(last), F.sum("_dt").over(last))).drop("_dt", "_dv")
 
 
+def time_left(samples: DataFrame, time: str, done: str, target: Column, group: str, window: int = 30) -> DataFrame:
+    """(group, done, rate, seconds_left): each group's newest sample with its rolling rate, and the time to the target at that rate; null where nothing moves."""
+    rated = rolling_rate(samples, time, done, window, group)
+    last = rated.groupBy(group).agg(F.max_by(F.struct(F.col(done).alias("done"), "rate", target.alias("target")), F.struct(time, done)).alias("x")).select(group, "x.*")
+    left = F.when(F.col("rate") > 0, F.greatest(F.col("target") - F.col("done"), F.lit(0)) / F.col("rate"))
+    return last.select(group, "done", "rate", left.alias("seconds_left"))
+
+
 def _outside(allowed: tuple[str, ...]):  # noqa: ANN202
     return lambda x: x.isNotNull() & (x["citation_context"].isNull() | ~x["citation_context"].isin(*allowed))
 

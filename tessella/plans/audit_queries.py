@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions import text
+from tessella.functions import articles, text
 from tessella.operators import ann, dedup, models, quality
 from tessella.session import shared_dir
 from tessella.sources import files
@@ -17,6 +17,8 @@ from tessella.sources.tables import table
 from tessella.streaming import ingest
 
 RAW = "doc_id string, url string, source_db string, court string, court_short string, full_text string, scraped_at timestamp_ntz"
+CANONICAL = r"^\d+\.º(-[A-Za-z])?(, n\.º \d+)?(, alínea [a-z]\))?$"
+LETTERS = "aeiousrntdlm"
 CONTEXTS = ("supporting", "distinguishing", "criticizing", "referencing")
 PRICES = [("small", 0.2, 0.9), ("large", 2.5, 9.0)]  # a million prompt and completion tokens
 
@@ -116,23 +118,45 @@ def a23_laws(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "legislation_cited").where("law is not null").groupBy("law").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "law").limit(30)
 
 
+def a23_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The extraction's legislation before and after normalizing: entries, canonical articles, distinct laws."""
+    ok = lambda c: c.rlike(CANONICAL)
+    x = _extracted(spark, folder).dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("legislation_cited").alias("pos", "c")).where("c is not null").select("doc_id", "pos", "c.*")
+    done = articles.normalized_legislation(x, ["doc_id"], "pos", "article", "law", "citation_context")
+    count = lambda rows, stage: rows.agg(F.count("*").alias("entries"), F.count_if(ok(F.trim("article"))).alias("canonical"), F.count_distinct("law").alias("laws")).select(F.lit(stage).alias("stage"), "*")
+    return count(x, "before").unionByName(count(done, "after"))
+
+
+def a23_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """What is not canonical after expansion, most frequent first: 25 values."""
+    x = table(spark, folder, "legislation_cited").where("article is not null").select(F.explode(articles.expand_articles(F.col("article"))).alias("place"))
+    return x.where(~F.col("place").rlike(CANONICAL)).groupBy("place").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "place").limit(25)
+
+
 def a24_signals(spark: SparkSession, folder: str) -> DataFrame:
-    d = serving(spark, folder)
-    low = F.lower("full_text")
-    return quality.signal_combinations(d, {"by_flag": F.col("is_auj"), "by_text": low.contains("uniformiza"), "by_summary": F.lower("summary").contains("recurso")})
+    """Extractions with their raw page, if there is one, by what says that they unify case law: labels, thesis, page header, flag."""
+    x = _extracted(spark, folder).dropDuplicates(["doc_id"]).withColumn("stem", F.concat(F.lower(F.coalesce("court_short", F.lit(""))), F.lit("_"), "doc_id"))
+    raw = dedup.keep_last(_raw(spark, folder).select("doc_id", "scraped_at", "full_text"), "doc_id", ["scraped_at"])
+    pages = raw.select(F.col("doc_id").alias("page_id"), text.header_field(F.col("full_text"), "Descritores").alias("header"))
+    both = x.withColumn("page_id", F.regexp_replace("stem", "^[^_]*_", "")).join(pages, "page_id", "left")
+    signals = {
+        "by_label": text.unifies_case_law(F.col("procedural_type"), F.col("case_type")), "by_thesis": text.states_thesis(F.col("summary"), F.col("ratio_decidendi"), F.col("legal_question")),
+        "by_header": text.unifies_case_law(F.col("header")), "by_flag": F.col("is_jurisprudence_unification"), "has_page": F.col("header").isNotNull(),
+    }
+    return quality.signal_combinations(both, signals)
 
 
 def a25_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Costs of two models over every raw text, tokens taken as characters over four."""
-    prices = spark.createDataFrame(PRICES, "model string, inp double, outp double")
+    models_ = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("inp"), F.lit(o).alias("outp")) for m, i, o in PRICES])
     calls = _raw(spark, folder).select(F.floor(F.length("full_text") / 4).alias("prompt_tokens"), F.lit(500).alias("completion_tokens"), F.lit(100).alias("cached_tokens"))
-    priced = calls.join(F.broadcast(prices)).withColumn("cost", (F.col("prompt_tokens") * F.col("inp") + F.col("completion_tokens") * F.col("outp")) / 1e6)  # two models
+    priced = calls.select("*", F.explode(models_).alias("m")).select("*", "m.*").withColumn("cost", (F.col("prompt_tokens") * F.col("inp") + F.col("completion_tokens") * F.col("outp")) / 1e6)
     return quality.usage_totals(priced, "model", 387_780)
 
 
 def a17_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [table(spark, folder, n).select(F.lit(n).alias("stage"), "_metadata.file_path", "_metadata.file_size").distinct() for n in ("raw_docs", "enhanced_docs", "documents")]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("stage").agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+    parts = [files.sizes(spark, f"{folder}/{n}.parquet").select(F.lit(n).alias("stage"), "bytes") for n in ("raw_docs", "enhanced_docs", "documents")]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("stage").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def j4_unprocessed(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,6 +173,14 @@ def j6_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _raw(spark, folder).join(sample, "doc_id", "left_semi").groupBy("court_short").agg(F.count("*").alias("n"))
 
 
+def j9_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """The side-by-side table with each document's columns in one text, as the columns differ with the raters there are."""
+    wide = j9_pivot(spark, folder)
+    raters = sorted(c for c in wide.columns if c != "doc_id")
+    named = [F.when(F.col(r).isNotNull(), F.concat(F.lit(f"{r}="), F.col(r).cast("string"))) for r in raters] or [F.lit(None).cast("string")]
+    return wide.select("doc_id", F.concat_ws("|", *named).alias("grades"))
+
+
 def j9_pivot(spark: SparkSession, folder: str) -> DataFrame:
     x = table(spark, folder, "reading_labels").where("grade is not null").groupBy("doc_id", "rater").agg(F.max("grade").alias("grade"))
     return models.side_by_side(x, "doc_id", "rater", "grade")
@@ -225,7 +257,9 @@ def s3_limited(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k6_rewrite(spark: SparkSession, folder: str) -> DataFrame:
+    """A table with repeats replaced in its place by its deduplicated form."""
     path = _path(spark, "rewrite")
+    _raw(spark, folder).select("doc_id").write.parquet(path)
     dedup.rewrite_deduplicated(_raw(spark, folder).select("doc_id", "scraped_at", "chunk_file", "line_no"), "doc_id", ["scraped_at", "chunk_file", "line_no"], path)
     return spark.read.parquet(path)
 
@@ -240,26 +274,70 @@ def k4_ingest(spark: SparkSession, folder: str) -> DataFrame:
     for late in ("turn > 1", "turn = 1"):
         turns.where(late).drop("turn").write.mode("append").json(f"{path}/in")
         ingest.ingest(spark, f"{path}/in", f"{path}/out", schema, lambda rows: rows.withColumn("chars", F.length("full_text").cast("bigint")).drop("full_text"))
-    now = ingest.current(spark, f"{path}/out")
-    return spark.read.parquet(now).select("doc_id", "scraped_at", "chars")
+    return ingest.read(spark, f"{path}/out").select("doc_id", "scraped_at", "chars")
 
 
 def m3_embed(spark: SparkSession, folder: str) -> DataFrame:
-    x = table(spark, folder, "documents").select("doc_id", "summary", models.embedded(F.col("summary"), models.hashing_embedder(16), 50).alias("v"))
-    return x.select("doc_id", F.col("v").isNotNull().alias("embedded"), F.coalesce(F.size("v"), F.lit(-1)).alias("dim"))
+    """Batched embeddings by a function that SQL can check, so that every vector must be at its own document."""
+    x = table(spark, folder, "documents").select("doc_id", models.embedded(F.col("summary"), models.counting_embedder(LETTERS), 50).alias("v"))
+    return x.select("doc_id", F.array_join(F.transform("v", lambda y: y.cast("int").cast("string")), ",").alias("vector"))
 
 
-def m1_extract(spark: SparkSession, folder: str) -> DataFrame:
+def _amounts(pattern: str):  # noqa: ANN202
     """A rule-based extractor in place of a model: number of words and the first amount named."""
-    schema = T.StructType([T.StructField("words", T.LongType()), T.StructField("amount", T.StringType())])
+    import re
+
+    found = re.compile(pattern)
 
     def call(value: str) -> dict:
-        import re
+        m = found.search(value)
+        return {"words": len(value.split()), "amount": m.group() if m else None, "unknown": 1}
+
+    return call
+
 
-        m = re.search(r"\d[\d.]*,\d\d(?= euros)", value)
-        return {"words": len(value.split()), "amount": m.group() if m else None}
+EXTRACT = T.StructType([T.StructField("words", T.LongType()), T.StructField("amount", T.StringType())])
+
+
+def m1_extract(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").where("text is not null and text <> ''")
+    return d.select("doc_id", models.extracted(F.col("text"), _amounts(r"\d[\d.]*,\d\d(?= euros)"), EXTRACT).alias("x")).select("doc_id", "x.words", "x.amount")
 
-    return table(spark, folder, "documents").where("text is not null and text <> ''").select("doc_id", models.extracted(F.col("text"), call, schema).alias("x")).select("doc_id", "x.amount")
+
+def p10_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies as models give them, plain, fenced, cut off or with a field missing, read back against a schema."""
+    d = serving(spark, folder).select("doc_id", "summary", F.year("decision_date").alias("year"))
+    reply = F.to_json(F.struct("summary", "year", F.lit("x").alias("unknown")))
+    kind = F.col("doc_id") % 4
+    made = F.when(kind == 0, reply).when(kind == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("```"), reply, F.lit("```"))).otherwise(F.left(reply, F.length(reply) - 2))
+    schema = T.StructType([T.StructField("summary", T.StringType()), T.StructField("year", T.IntegerType())])
+    return d.select("doc_id", models.parsed_reply(made, schema, ("summary",)).alias("r")).select("doc_id", F.col("r").isNotNull().alias("valid"), "r.summary", "r.year")
+
+
+def p11_postprocess(spark: SparkSession, folder: str) -> DataFrame:
+    """One extraction's keywords, legislation and flag in their final form."""
+    x = table(spark, folder, "enhanced_docs").dropDuplicates(["doc_id"])
+    done = models.postprocessed(x, "doc_id", "llm_extracted")
+    return done.select("doc_id", "keywords", "is_auj", F.coalesce(F.size("legislation"), F.lit(0)).cast("bigint").alias("places") > 0, F.array_join(F.array_sort(F.array_distinct(F.transform("legislation", lambda p: p["citation_context"]))), ",").alias("contexts")).toDF("doc_id", "keywords", "is_auj", "has_places", "contexts")
+
+
+def s2_enhanced(spark: SparkSession, folder: str) -> DataFrame:
+    """The nested records written as JSON lines and read back with their schema, compared field by field through their counts."""
+    path = _path(spark, "enhanced")
+    rows = table(spark, folder, "enhanced_docs").select("doc_id", "source_db", "llm_extracted")
+    files.write_shards(rows, path, per_shard=1000)
+    back = files.read_lines(spark, path, rows.schema)
+    return back.groupBy("source_db").agg(
+        F.count("*").alias("n"), F.count("llm_extracted").alias("extracted"), F.sum(F.coalesce(F.size("llm_extracted.parties"), F.lit(0)) * F.col("llm_extracted.parties").isNotNull().cast("int")).alias("parties"),
+        F.count("llm_extracted.summary").alias("summaries"), F.count_if(F.exists("llm_extracted.doctrine_cited", lambda d: d.isNull())).alias("with_empty"), F.round(F.sum(F.coalesce(F.aggregate("llm_extracted.amounts_involved", F.lit(0.0), lambda s, a: s + F.coalesce(a["amount"], F.lit(0.0))), F.lit(0.0))), 2).alias("amounts"),
+    )
+
+
+def a26_left(spark: SparkSession, folder: str) -> DataFrame:
+    """Time left of each user to a thousand events, at the rolling rate."""
+    e = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    counted = e.withColumn("done", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return quality.time_left(counted, "ts", "done", F.lit(1000), "user_id").select("user_id", F.col("done").cast("bigint").alias("done"), F.round("seconds_left", 2).alias("seconds_left"))
 
 
 def tk7_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -293,10 +371,14 @@ def s8_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k5_concat(spark: SparkSession, folder: str) -> DataFrame:
+    """One ordered file per database, read back by line: files, lines, and whether the lines stand in order."""
     path = _path(spark, "concat")
-    files.concatenated(_raw(spark, folder).select("doc_id", "chunk_file", "line_no"), ["chunk_file", "line_no", "doc_id"], path)
-    back = files.read_lines(spark, path, "doc_id string, chunk_file string, line_no bigint")
-    return back.agg(F.count_distinct("shard").alias("files"), F.count("*").alias("lines"), F.min("doc_id").alias("first_id"))
+    files.concatenated(_raw(spark, folder).select("source_db", "doc_id", "chunk_file", "line_no"), "source_db", ["chunk_file", "line_no", "doc_id"], path)
+    back = spark.read.schema("doc_id string, chunk_file string, line_no bigint, source_db string").json(path).withColumns({"file": F.col("_metadata.file_path"), "at": F.monotonically_increasing_id()})
+    at = Window.partitionBy("source_db", "file").orderBy("at")
+    place = F.struct("chunk_file", "line_no", "doc_id")
+    back = back.withColumn("rising", F.coalesce(place >= F.lag(place).over(at), F.lit(True)))
+    return back.groupBy("source_db").agg(F.count_distinct("file").alias("files"), F.count("*").alias("lines"), F.bool_and("rising").alias("ordered"))
 
 
 def k8_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -315,29 +397,38 @@ def k9_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m4_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    """Two stand-in models over the labelled documents: mean distance of a length rule from the grade, per model."""
-    rules = spark.createDataFrame([("short", 300.0), ("long", 700.0)], "model string, per_grade double")
-    x = table(spark, folder, "reading_labels").where("grade is not null").join(table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id").join(F.broadcast(rules))  # two models
-    guess = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("n_chars") / F.col("per_grade")))
-    return x.groupBy("model").agg(F.count("*").alias("documents"), F.round(F.avg(F.abs(guess - F.col("grade"))), 4).alias("mean_error"))
+    """Two stand-in models over every document, with scores and costs, cheapest first."""
+    rules = {"large": (_amounts(r"\d[\d.]*,\d\d(?= euros)"), 2.5, 9.0), "small": (_amounts(r"\d+(?= dias)"), 0.2, 0.9)}
+    found = models.benchmark(table(spark, folder, "documents"), "text", rules, EXTRACT)
+    return found.select(F.col("place").cast("bigint").alias("place"), "model", "calls", "answered", "filled", "prompt_tokens")
 
 
 def queries() -> dict:
     return {
+        "A23_audit": a23_audit, "A23_residual": a23_residual, "A26_time_left": a26_left, "P10_parse": p10_parse, "P11_postprocess": p11_postprocess, "S2_enhanced": s2_enhanced,
         "T11_thesis": t11_thesis, "A27_log_lines": a27_log, "S8_keyset": s8_keyset, "S8_keyset_pages": s8_pages, "K5_concat": k5_concat, "K8_summaries": k8_documents, "K9_index": k9_index, "M4_benchmark": m4_benchmark,
         "S9_scan": lambda s, f: table(s, f, "documents").select("doc_id", "source", "lang"),
         "A10_duplicates": a10_duplicates, "A11_dup_places": a11_places, "A12_completeness": a12_completeness, "A13_flag_rates": a13_flags, "A14_date_quality": a14_dates, "A15_json_validity": a15_validity,
         "A16_coverage": a16_coverage, "A17_sizes": a17_sizes, "A18_scorecard": a18_scorecard, "A18_confidence": a18_confidence, "A19_depth": a19_depth, "A20_clusters": a20_clusters, "A21_parties": a21_parties,
         "A22_leading_word": a22_leading, "A23_law_counts": a23_laws, "A24_signals": a24_signals, "A25_usage": a25_usage, "A26_W2_rolling_rate": w2_rolling,
         "W3_keep_last": w3_keep_last, "W4_keep_first": w4_keep_first, "W5_rechunk": w5_rechunk,
-        "J4_unprocessed": j4_unprocessed, "J5_missing": j5_missing, "J6_sample_rows": j6_sample, "J9_models": j9_pivot, "J10_lookup": j10_lookup, "U_set_operations": u_sets,
+        "J4_unprocessed": j4_unprocessed, "J5_missing": j5_missing, "J6_sample_rows": j6_sample, "J9_models": j9_listing, "J10_lookup": j10_lookup, "U_set_operations": u_sets,
         "S1_S2_lines": s1_lines, "S3_limited": s3_limited, "S4_documents": s4_documents, "S7_listing_walk": s7_listing, "S10_state": s10_state, "S11_state": s11_state,
         "K1_K3_shards": k1_shards, "K4_ingest": k4_ingest, "K6_rewrite": k6_rewrite, "M1_extract": m1_extract, "M3_embed": m3_embed, "TK7_sample": tk7_sample,
     }
 
 
+_AMOUNT = "nullif(regexp_extract(t, '(\\d[\\d.]*,\\d\\d) euros', 1), '')"
+_FOLDED = "replace(replace(strip_accents(lower({c})), 'º', 'o'), 'ª', 'a')"
+
+
+def _header_sql(c: str, key: str) -> str:
+    """The lines under a label up to the next one, by a pattern that reads the next label too."""
+    head = f"replace(replace(left({c}, 4000), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    return f"nullif(trim(regexp_extract({head} || chr(10) || 'x:' || chr(10), '(?s)(?:^|\\n){key}:?[ \\t]*\\n(.*?)\\n[^\\n]{{1,60}}:[ \\t]*\\n', 1)), '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    x = "(select distinct on (doc_id) doc_id, court_short, e.* from (select doc_id, court_short, unnest(llm_extracted) from enhanced_docs where llm_extracted is not null) e order by doc_id)"
     x = "(select doc_id, court_short, llm_extracted as e, row_number() over (partition by doc_id) as r from enhanced_docs where llm_extracted is not null)"
     from tessella.plans.search_queries import S
 
@@ -351,14 +442,18 @@ def oracle_sql() -> dict[str, str]:
         "A27_log_lines": "select count(*) as lines, count(*) filter (value < 10) as errors from events",
         "S8_keyset": "select distinct doc_id from raw_docs where doc_id > '8' || repeat('0', 31) order by doc_id limit 1000",
         "S8_keyset_pages": "select floor((r - 1) / 1000)::bigint as page, min(doc_id) as first_id, max(doc_id) as last_id, count(*) as n from (select doc_id, row_number() over (order by doc_id) as r from (select distinct doc_id from raw_docs where doc_id is not null)) group by 1",
-        "K5_concat": "select 1::bigint as files, count(*) as lines, min(doc_id) as first_id from raw_docs",
+        "K5_concat": "select source_db, 1::bigint as files, count(*) as lines, true as ordered from raw_docs group by 1",
         "K8_summaries": "select court_short, count(*) as n from documents where court_short is not null group by 1",
         "K9_index": "select count(*) as vectors, count(distinct vec_id) as ids, true as lists from embeddings",
-        "M4_benchmark": "select model, count(*) as documents, round(avg(abs(greatest(1.0, least(5.0, n_chars / p)) - grade)), 4) as mean_error from reading_labels l join documents d on d.doc_id = l.doc_id, (values ('short', 300.0::double), ('long', 700.0::double)) m(model, p) where grade is not null group by 1",
+        "M4_benchmark": f"with d as (select text as t, floor(length(text) / 4)::bigint as p from documents where text <> ''), m as (select 'large' as model, p, 1 + ({_AMOUNT} is not null)::int as n, 2.5 as price from d union all select 'small', p, 1 + regexp_matches(t, '[0-9]+ dias')::int, 0.2 from d) select row_number() over (order by sum(p) * price) as place, model, count(*) as calls, count(*) as answered, round(avg(n) / 2, 6) as filled, sum(p)::bigint as prompt_tokens from m group by model, price",
+        "A26_time_left": "with c as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) as done from events), s as (select *, (epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6 as dt, done - lag(done) over w as dv from c window w as (partition by user_id order by ts, event_id)), r as (select *, sum(dv) over l / nullif(sum(dt) over l, 0) as rate, row_number() over (partition by user_id order by ts desc, event_id desc) as back from s window l as (partition by user_id order by ts, event_id rows between 29 preceding and current row)) select user_id, done, case when rate > 0 then round(greatest(1000 - done, 0) / rate, 2) end as seconds_left from r where back = 1",
+        "P10_parse": "select doc_id, valid, case when valid then summary end as summary, case when valid then year end as year from (select doc_id, summary, year(decision_date)::int as year, summary is not null and doc_id % 4 <> 3 as valid from documents)",
+        "P11_postprocess": f"with d as (select doc_id, e from {x} where r = 1 union all select distinct doc_id, null from enhanced_docs where doc_id not in (select doc_id from enhanced_docs where llm_extracted is not null)), k as (select *, {_FOLDED.format(c='e.procedural_type')} as p, {_FOLDED.format(c='e.case_type')} as c, e.keywords_search_query as r, list_filter(e.legislation_cited, lambda q: q is not null) as l from d), s as (select *, list_transform(case when contains(r, ',') or not contains(r, chr(10)) then string_split(r, ',') else regexp_split_to_array(r, '\\r\\n|[\\n\\r]') end, lambda q: trim(regexp_replace(regexp_replace({_FOLDED.format(c='q')}, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) as w from k), f as (select *, list_filter(w, lambda q: q <> '' and len(string_split(q, ' ')) between 2 and 6) as v from s) select doc_id, nullif(array_to_string(list_filter(v, lambda q, i: list_position(v, q) = i), ', '), '') as keywords, case when e is not null then coalesce(e.is_jurisprudence_unification, false) or coalesce(regexp_matches(p, '{text.UNIFIES}'), false) or coalesce(regexp_matches(c, '{text.UNIFIES}'), false) end as is_auj, coalesce(len(l) > 0, false) as has_places, case when len(l) > 0 then array_to_string(list_sort(list_distinct(list_transform(l, lambda q: case when lower(trim(q.citation_context)) in {CONTEXTS} then lower(trim(q.citation_context)) else 'referencing' end))), ',') end as contexts from f",
+        "S2_enhanced": "select source_db, count(*) as n, count(llm_extracted) as extracted, sum(coalesce(len(llm_extracted.parties), 0))::bigint as parties, count(llm_extracted.summary) as summaries, count(*) filter (len(list_filter(llm_extracted.doctrine_cited, lambda d: d is null)) > 0) as with_empty, round(sum(coalesce(list_sum(list_transform(llm_extracted.amounts_involved, lambda a: coalesce(a.amount, 0))), 0)), 2) as amounts from enhanced_docs group by 1",
         "S9_scan": "select doc_id, source, lang from documents",
         "A10_duplicates": "select court_short, sum(n)::bigint as lines, count(*) as unique_ids, count(*) filter (n > 1) as dup_ids, sum(n - 1)::bigint as extra_lines from (select court_short, doc_id, count(*) as n from raw_docs group by all) group by 1",
         "A11_dup_places": "select count(*) filter (f > 1) as cross_file_ids, count(*) filter (f = 1) as same_file_ids from (select doc_id, count(*) as n, count(distinct chunk_file) as f from raw_docs group by 1) where n > 1",
-        "A12_completeness": f"with d as (select * from {x} where r = 1), f as (select * from (select *, row_number() over (partition by court_short order by doc_id) as p from d) where p <= 100), o as (" + " union all ".join([*[pct(n, f"e.{n} is not null and e.{n} <> ''") for n in strings], *[pct(n, f"e.{n} is not null and len(e.{n}) > 0") for n in ("parties", "injuries")]]) + ") select *, case when pct >= 80 then 'ok' when pct >= 50 then 'weak' else 'poor' end as mark from o",
+        "A12_completeness": f"with d as (select * from {x} where r = 1), f as (select * from d), o as (" + " union all ".join([*[pct(n, f"e.{n} is not null and e.{n} <> ''") for n in strings], *[pct(n, f"e.{n} is not null and len(e.{n}) > 0") for n in ("parties", "injuries")]]) + ") select *, case when pct >= 80 then 'ok' when pct >= 50 then 'weak' else 'poor' end as mark from o",
         "A13_flag_rates": "select court_short, count(*) as total, count(*) filter (is_auj) as flagged, round(count(*) filter (is_auj) / count(*) * 100, 4) as rate from documents where court_short is not null group by rollup (court_short)",
         "A14_date_quality": f"with d as (select court_short, e.decision_date as raw, {anydate} as d from {x} where r = 1) select court_short, min(d) as min_date, max(d) as max_date, count(*) filter (coalesce(trim(raw), '') = '') as missing, count(*) filter (coalesce(trim(raw), '') <> '' and d is null) as invalid, count(*) filter (year(d) > 2020) as future, count(*) filter (year(d) < 1900) as too_old from d group by 1",
         "A15_json_validity": "with l as (select regexp_replace(coalesce(metadata, ''), '[\\r\\n]+', ' ', 'g') as v from documents) select count(*) as lines, count(*) filter (trim(v) = '') as blank, count(*) filter (trim(v) <> '' and not json_valid(v)) as invalid from l",
@@ -370,7 +465,7 @@ def oracle_sql() -> dict[str, str]:
         "A21_parties": f"select p.role as role, p.type as type, count(*) as n from (select unnest(e.parties) as p from {x} where r = 1) where p is not null group by all",
         "A22_leading_word": f"select lower(regexp_extract(e.decision_outcome, '^\\s*([^\\s,.;:]+)', 1)) as first_word, count(*) as n from {x} where r = 1 and e.decision_outcome is not null group by 1",
         "A23_law_counts": "select law, count(*) as n from legislation_cited where law is not null group by 1 order by n desc, law limit 30",
-        "A24_signals": "select coalesce(is_auj, false) as by_flag, coalesce(contains(lower(text), 'uniformiza'), false) as by_text, coalesce(contains(lower(summary), 'recurso'), false) as by_summary, count(*) as n from documents group by all",
+        "A24_signals": f"with p as (select doc_id, {_header_sql('full_text', 'Descritores')} as h from (select doc_id, full_text, row_number() over (partition by doc_id order by scraped_at desc) as r from raw_docs) where r = 1), d as (select e, h from {x} d left join p on p.doc_id = d.doc_id where d.r = 1), u as (select {_FOLDED.format(c='e.procedural_type')} as a, {_FOLDED.format(c='e.case_type')} as b, {_FOLDED.format(c='h')} as h, {_FOLDED.format(c="concat_ws(' ', e.summary, e.ratio_decidendi, e.legal_question)")} as t, e.is_jurisprudence_unification as f from d) select coalesce(regexp_matches(a, '{text.UNIFIES}'), false) or coalesce(regexp_matches(b, '{text.UNIFIES}'), false) as by_label, coalesce(regexp_matches(t, '{text.THESIS}'), false) as by_thesis, coalesce(regexp_matches(h, '{text.UNIFIES}'), false) as by_header, coalesce(f, false) as by_flag, h is not null as has_page, count(*) as n from u group by all",
         "A25_usage": "with p as (select * from (values ('small', 0.2, 0.9), ('large', 2.5, 9.0)) x(model, i, o)), c as (select model, floor(length(full_text) / 4)::bigint as t, (floor(length(full_text) / 4) * i::double + 500 * o::double) / 1e6 as cost from raw_docs, p), g as (select model, count(*) as calls, sum(t)::bigint as prompt_tokens, (count(*) * 500)::bigint as completion_tokens, (count(*) * 100)::bigint as cached_tokens, round(sum(cost), 6) as cost from c group by 1) select *, round(cached_tokens / prompt_tokens * 100, 4) as cached_pct, round(cost / calls, 6) as cost_per_call, round(cost / calls * 387780, 2) as projected_cost from g",
         "A26_W2_rolling_rate": "with c as (select event_id, user_id, ts, row_number() over (partition by user_id order by ts, event_id) as done from events), s as (select *, (epoch_us(ts) - lag(epoch_us(ts)) over w) / 1e6 as dt, done - lag(done) over w as dv from c window w as (partition by user_id order by ts, event_id)) select event_id, round(sum(dv) over l / nullif(sum(dt) over l, 0), 6) as rate from s window l as (partition by user_id order by ts, event_id rows between 29 preceding and current row)",
         "W3_keep_last": f"select l.*, f.scraped_at as first_scraped from ({last.format(d='desc')}) l join ({last.format(d='asc')}) f on f.doc_id = l.doc_id",
@@ -379,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
         "J4_unprocessed": "select distinct doc_id from raw_docs where doc_id not in (select doc_id from enhanced_docs)",
         "J5_missing": "select distinct lower(doc_id) as id from raw_docs where lower(doc_id) not in (select lower(doc_id) from enhanced_docs)",
         "J6_sample_rows": "select court_short, count(*) as n from raw_docs where doc_id in (select doc_id from enhanced_docs) group by 1",
-        "J9_models": "select doc_id, " + ", ".join(f"max(grade) filter (rater = 'leitor_{i}') as leitor_{i}" for i in range(1, 4)) + " from reading_labels where grade is not null group by 1",
+        "J9_models": "select doc_id, string_agg(rater || '=' || grade, '|' order by rater) as grades from (select doc_id, rater, max(grade) as grade from reading_labels where grade is not null and rater is not null group by 1, 2) group by 1",
         "J10_lookup": "select db, count(*) as n from documents d join court_catalog c on c.court_short = d.court_short group by 1",
         "U_set_operations": "with r as (select doc_id from raw_docs), e as (select doc_id from enhanced_docs) select 'union' as operation, count(*) as n from (select * from r union select * from e) union all select 'difference', count(*) from (select * from r except select * from e) union all select 'intersection', count(*) from (select * from r intersect select * from e) union all select 'bag', count(*) from (select * from r union all select * from e)",
         "S1_S2_lines": "select source_db, count(*) as n, count(distinct doc_id) as ids, sum(length(full_text))::bigint as chars from raw_docs group by 1",
@@ -390,6 +485,6 @@ def oracle_sql() -> dict[str, str]:
         "S11_state": "select source_db, count(distinct doc_id) as ids from raw_docs group by 1",
         "K1_K3_shards": "select count(*) + count(*) filter (court_short is null) as documents, true as within from raw_docs",
         "K4_ingest": "select doc_id, scraped_at, length(full_text)::bigint as chars from (select *, row_number() over (partition by doc_id order by scraped_at desc) as r from raw_docs) where r = 1",
-        "M1_extract": "select doc_id, nullif(regexp_extract(text, '(\\d[\\d.]*,\\d\\d) euros', 1), '') as amount from documents where text is not null and text <> ''",
-        "M3_embed": "select doc_id, summary is not null and trim(summary) <> '' as embedded, case when summary is not null and trim(summary) <> '' then 16 else -1 end as dim from documents",
+        "M1_extract": f"select doc_id, len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+')) as words, {_AMOUNT.replace('(t,', '(text,')} as amount from documents where text <> ''",
+        "M3_embed": "select doc_id, case when trim(summary) <> '' then concat_ws(',', " + ", ".join(f"length(summary) - length(replace(summary, '{c}', ''))" for c in LETTERS) + ") end as vector from documents",
     }

@@ -214,7 +214,7 @@ def queries() -> dict:
         "H12_ann_recall": h12_recall, "H12_filtered": h12_filtered, "H1_text_query": h1_text_query, "H8_matches": h8_matches, "H10_matches": h10_matches, "TK2_capped": tk2_capped, "F8_phrase": f8_phrase, "F8_excluded": f8_excluded, "TK1_neighbours": tk1_exact_neighbours, "J1_hydrate": j1_hydrate, "J2_lookup": j2_lookup,
         "A1_stats": lambda s, f: facets.stats(_vectors(s, f), ["embedding", "embedding_context", "embedding_ratio"]),
         "A2_court_facet": lambda s, f: facets.value_counts(docs(s, f), "court_short"),
-        "A3_auj_facet": lambda s, f: facets.value_counts(docs(s, f), "is_auj"),
+        "A3_auj_facet": lambda s, f: facets.value_counts(docs(s, f), "is_auj", by_value=True),
         "A4_date_range": lambda s, f: facets.date_range(docs(s, f)),
         "A5_domain_count": lambda s, f: docs(s, f).agg(F.count_distinct("legal_domain").alias("domains")),
         "A6_top_domains": lambda s, f: facets.domains(docs(s, f), "comercial", 10),

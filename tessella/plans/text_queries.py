@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,12 +69,26 @@ def p3_embedding_texts(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("doc_id", *[c.alias(n) for n, c in made.items()]).distinct()
 
 
+SOURCE_KEYS = ("source_db", "court", "court_short")
+
+
+def serving_metadata(x: DataFrame, extraction: str = "llm_extracted") -> Column:
+    """A record's metadata as JSON: the whole extraction, nulls kept, and the source's keys, which replace fields of the same names."""
+    own = [F.col(extraction)[f].alias(f) for f in x.schema[extraction].dataType.names if f not in SOURCE_KEYS]
+    source = [F.coalesce(F.col(k), F.lit("")).alias(k) if k == "court" else F.col(k) for k in SOURCE_KEYS]
+    return F.to_json(F.struct(*own, *source), {"ignoreNullFields": "false"})
+
+
 def p2_serving_row(spark: SparkSession, folder: str) -> DataFrame:
-    """Extraction records as serving rows; the source keys override, nulls are kept as JSON nulls."""
-    x = table(spark, folder, "enhanced_docs")
-    meta = F.to_json(F.struct("llm_extracted.*", "source_db", F.coalesce("court", F.lit("")).alias("court"), "court_short"), {"ignoreNullFields": "false"})
+    """Extraction records as serving rows, with what their metadata holds when it is read again."""
+    x = table(spark, folder, "enhanced_docs").withColumn("m", serving_metadata(table(spark, folder, "enhanced_docs")))
     auj = F.coalesce(F.col("llm_extracted.is_jurisprudence_unification"), F.lit(False))
-    rows = x.select("doc_id", "court_short", text.iso_date(F.col("llm_extracted.decision_date")).alias("decision_date"), "llm_extracted.legal_domain", auj.alias("is_auj"), F.size(F.json_object_keys(meta)).cast("bigint").alias("metadata_keys"))
+    again = lambda k: F.get_json_object("m", f"$.{k}").alias(f"m_{k}")
+    rows = x.select(
+        "doc_id", "court_short", text.iso_date(F.col("llm_extracted.decision_date")).alias("decision_date"), "llm_extracted.legal_domain", auj.alias("is_auj"),
+        F.array_join(F.array_sort(F.json_object_keys("m")), ",").alias("m_keys"), again("source_db"), again("court"), again("court_short"), again("summary"), again("liability_found"),
+        F.coalesce(F.json_array_length(F.get_json_object("m", "$.parties")), F.lit(-1)).cast("bigint").alias("m_parties"), again("voting"), again("keywords_search_query"),
+    )
     return rows.distinct()
 
 
@@ -84,8 +98,10 @@ def p4_prompt(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
-    return d.agg(F.count_if(F.length("text") >= 200).alias("long_enough"), F.count_if(F.col("text").contains("Processo")).alias("with_marker"))
+    """Texts that are long enough, and how many show a number, a judge and a body, by their markers."""
+    d = table(spark, folder, "raw_docs").select(F.col("full_text").alias("t"))
+    body = F.col("t").contains("Decisão Texto Integral") | F.col("t").contains("Acordam") | F.upper("t").contains("RELATÓRIO")
+    return d.agg(F.count_if(F.length("t") >= 200).alias("long_enough"), F.count_if(F.col("t").contains("Processo")).alias("with_number"), F.count_if(F.col("t").contains("Relator")).alias("with_judge"), F.count_if(body).alias("with_body"))
 
 
 def f12_variants(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,10 +176,35 @@ def t9_dates(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy(text.iso_date(F.col("decision_date")).alias("day")).agg(F.count("*").alias("n"))
 
 
+HEADERS = {"process": "Processo", "judge": "Relator", "descriptors": "Descritores", "voting": "Votação", "none": "Nenhum"}
+
+
 def t10_headers(spark: SparkSession, folder: str) -> DataFrame:
-    made = F.concat(F.lit("Processo:\n"), F.col("process_number"), F.lit("\nRelator:\n"), F.col("court_short"), F.lit("\nTexto Integral:\nS\n"), F.col("text"))
-    x = table(spark, folder, "documents").where("process_number is not null and text is not null").select("doc_id", made.alias("t"))
-    return x.select("doc_id", text.header_field(F.col("t"), "Processo").alias("process"), text.header_field(F.col("t"), "Relator").alias("judge"), text.header_field(F.col("t"), "Nenhum").alias("none"))
+    """The header fields of the raw pages."""
+    x = table(spark, folder, "raw_docs").select("doc_id", *[text.header_field(F.col("full_text"), v).alias(k) for k, v in HEADERS.items()])
+    return x.distinct()
+
+
+def t5_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """The places of locators of plain shapes, which SQL can expand in its own way."""
+    x = table(spark, folder, "legislation_cited").where(F.col("article").rlike(PLAIN)).select("article").distinct()
+    return x.select("article", F.array_join(articles.expand_articles(F.col("article")), "|").alias("places"))
+
+
+_ART, _LIST = r"\d+\.º(?:-[A-Za-z])?", "(?:, | e )"
+#: An article; a list or range of articles; an article with a number, several numbers or a range of numbers; and with letters.
+PLAIN = rf"^(?:{_ART}(?:{_LIST}{_ART})*|\d+\.º a \d+\.º|{_ART}, n\.ºs? \d+(?:{_LIST}\d+)*|{_ART}, n\.ºs? \d+ a \d+|{_ART}, n\.º \d+, alíneas? [a-z]\)(?:{_LIST}[a-z]\))*)$"
+_PLAIN_SQL = rf"""
+with a as (select distinct article as a from legislation_cited where regexp_matches(article, '{PLAIN}')),
+p as (select a, regexp_extract(a, '^({_ART})', 1) as h, regexp_extract(a, '^(\d+)\.º a \d+\.º$', 1) as r1, regexp_extract(a, '^\d+\.º a (\d+)\.º$', 1) as r2,
+  regexp_extract(a, 'n\.ºs? (\d+) a \d+$', 1) as n1, regexp_extract(a, 'n\.ºs? \d+ a (\d+)$', 1) as n2, regexp_extract_all(regexp_extract(a, 'n\.ºs? ([^a]*)', 1), '\d+') as n, regexp_extract_all(a, '\b([a-z])\)', 1) as l from a)
+select a as article, array_to_string(case
+  when r1 <> '' then case when r2::int - r1::int between 1 and 20 then list_transform(generate_series(r1::int, r2::int), lambda i: i || '.º') else [a] end
+  when n1 <> '' then case when n2::int - n1::int between 1 and 20 then list_transform(generate_series(n1::int, n2::int), lambda i: h || ', n.º ' || i) else [h] end
+  when len(l) > 0 then list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: h || ', n.º ' || n[1] || ', alínea ' || x || ')')
+  when len(n) > 0 then list_transform(list_filter(n, lambda x, i: list_position(n, x) = i), lambda x: h || ', n.º ' || x)
+  else regexp_extract_all(a, '{_ART}') end, '|') as places from p
+"""
 
 
 def x4_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +251,7 @@ def queries() -> dict:
         "T1_keywords_table": lambda s, f: table(s, f, "documents").select("doc_id", text.keywords(F.try_variant_get(F.try_parse_json("metadata"), "$.keywords_search_query", "string")).alias("k")).where("k is not null"),
         "T2_fold": lambda s, f: table(s, f, "law_catalog").select("law_id", text.fold(F.col("law_name")).alias("folded"), text.fold_exact(F.col("law_name")).alias("exact")),
         "T3_law": g(LAWS, "string", text.law_name), "T3_law_table": t3_laws, "T4_clean": g(CLEAN, "string", articles.clean_article),
-        "T5_T6_articles": g(ARTICLES, "string", lambda c: F.array_join(articles.expand_articles(c), "|")), "T5_table": t5_places, "T7_legislation": t7_golden, "T7_table": t7_legislation,
+        "T5_T6_articles": g(ARTICLES, "string", lambda c: F.array_join(articles.expand_articles(c), "|")), "T5_table": t5_places, "T5_shapes": t5_shapes, "T7_legislation": t7_golden, "T7_table": t7_legislation,
         "T8_unifying": lambda s, f: _rows(s, "p string, c string", [r[:2] for r in UNIFYING]).select("p", "c", text.unifies_case_law(F.col("p"), F.col("c")).alias("result")), "T8_table": t8_flags,
         "T9_dates": g(DATES, "string", text.iso_date, "date"), "T9_table": t9_dates, "T10_headers": t10_headers,
         "T12_any_date": lambda s, f: table(s, f, "jurisprudence_cited").where("decision_date is not null").groupBy(text.any_date(F.col("decision_date")).alias("day")).agg(F.count("*").alias("n")),
@@ -231,6 +272,7 @@ def _law_sql(c: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessella.plans.audit_queries import _header_sql
     from tessella.plans.search_queries import S
 
     gold = lambda rows: _values(rows, "input, result")
@@ -242,14 +284,15 @@ def oracle_sql() -> dict[str, str]:
     truthy = "count(*) filter (keywords_search_query <> '') as {r}_keywords_search_query, {b} as {r}_liability_found, count(*) filter (len(parties) > 0) as {r}_parties"
     return {
         "P1_projection": "select doc_id, url, court_short, decision_date, process_number, legal_domain, is_auj, summary from documents",
-        "P2_serving_row": "select distinct doc_id, court_short, " + iso.format(c="llm_extracted.decision_date", f="%m/%d/%Y") + " as decision_date, llm_extracted.legal_domain as legal_domain, coalesce(llm_extracted.is_jurisprudence_unification, false) as is_auj, case when llm_extracted is null then 36 else 36 end::bigint as metadata_keys from enhanced_docs",
+        "P2_serving_row": "select distinct doc_id, court_short, " + iso.format(c="llm_extracted.decision_date", f="%m/%d/%Y") + " as decision_date, llm_extracted.legal_domain as legal_domain, coalesce(llm_extracted.is_jurisprudence_unification, false) as is_auj, array_to_string(list_sort(list_concat((select json_keys(to_json(llm_extracted)) from enhanced_docs where llm_extracted is not null limit 1), ['source_db', 'court', 'court_short'])), ',') as m_keys, source_db as m_source_db, coalesce(court, '') as m_court, court_short as m_court_short, llm_extracted.summary as m_summary, llm_extracted.liability_found::varchar as m_liability_found, coalesce(len(llm_extracted.parties), -1) as m_parties, llm_extracted.voting as m_voting, llm_extracted.keywords_search_query as m_keywords_search_query from enhanced_docs",
         "P3_embedding_texts": f"select distinct doc_id, left(coalesce(nullif(e.semantic_search_query, ''), nullif(e.summary, ''), ''), 12000) as embedding, left({nb(('semantic_search_query', 'legal_question', 'summary'))}, 12000) as embedding_context, left({nb(('ratio_decidendi', 'decision_outcome'))}, 12000) as embedding_ratio from (select doc_id, llm_extracted as e from enhanced_docs)",
         "P4_prompt": "select distinct doc_id, md5(p) as prompt_md5, length(p)::bigint as chars from (select doc_id, 'Court: ' || coalesce(nullif(court, ''), nullif(court_short, ''), '') || chr(10) || chr(10) || left(coalesce(full_text, ''), 80000) as p from raw_docs)",
         "P5_json_fields": f"with {S} select doc_id, metadata->>'decision_type' as decision_type, metadata->>'extraction_confidence' as extraction_confidence from s",
         "P6_json_guard": "select count(metadata) as texts, count(*) filter (json_valid(metadata)) as valid from documents",
         "P8_vector_text": gold(VECTORS), "P10_reply": gold(REPLIES),
         "P9_rounding": "select event_id, round(value, 4) as four, round(value, 2) as two from events",
-        "F10_F24_lengths": "select count(*) filter (length(text) >= 200) as long_enough, count(*) filter (contains(text, 'Processo')) as with_marker from documents",
+        "F10_F24_lengths": "select count(*) filter (length(full_text) >= 200) as long_enough, count(*) filter (contains(full_text, 'Processo')) as with_number, count(*) filter (contains(full_text, 'Relator')) as with_judge, count(*) filter (contains(full_text, 'Decisão Texto Integral') or contains(full_text, 'Acordam') or contains(upper(full_text), 'RELATÓRIO')) as with_body from raw_docs",
+        "T5_shapes": _PLAIN_SQL,
         "F12_nonempty": "select " + ", ".join([truthy.format(r="truthy", b="count(*) filter (liability_found)"), truthy.format(r="present", b="count(liability_found)"), truthy.format(r="not_blank", b="count(liability_found)").replace("keywords_search_query <> ''", "regexp_matches(keywords_search_query, '\\S')", 1)]) + f" from {x}",
         "F14_F23_shapes": "select count(*) filter (regexp_full_match(decision_date, '\\d{4}-\\d{2}-\\d{2}')) as iso_dates, count(*) filter (regexp_matches(lower(summary), '[áéíóúâêôãõç]')) as accented, count(*) filter (regexp_matches(rtrim(semantic_search_query), '[.?]$')) as sentences, count(*) filter (len(parties) > 3) as large_lists, count(*) filter (year(d) > 2020) as late, count(*) filter (year(d) < 2000) as early from (select *, coalesce(try_strptime(trim(decision_date), '%Y-%m-%d'), try_strptime(trim(decision_date), '%d/%m/%Y'), try_strptime(trim(decision_date), '%d-%m-%Y')) as d from " + x + ")",
         "F16_F17_articles": f"select count(*) filter (regexp_matches(article, '{art.format(c='A-Z')}')) as canonical, count(*) filter (regexp_matches(article, '{art.format(c='A-Za-z')}')) as canonical_wide, count(*) filter (article is not null and not regexp_matches(article, '{art.format(c='A-Z')}')) as residual, count(*) filter (contains(lower(law), 'artigo')) as names_article, count(*) filter (upper(trim(law)) in ('CPC', 'CTS', 'CAP')) as abbreviated from legislation_cited",
@@ -264,7 +307,7 @@ def oracle_sql() -> dict[str, str]:
         "T9_dates": f"select input, result::date as result from ({gold(DATES)})",
         "T9_table": "select " + iso.format(c="decision_date", f="%m/%d/%Y") + " as day, count(*) as n from jurisprudence_cited where decision_date is not null group by 1",
         "T12_any_date": "select coalesce(try_strptime(trim(decision_date), '%Y-%m-%d'), try_strptime(trim(decision_date), '%d/%m/%Y'), try_strptime(trim(decision_date), '%d-%m-%Y'))::date as day, count(*) as n from jurisprudence_cited where decision_date is not null group by 1",
-        "T10_headers": "select doc_id, nullif(trim(process_number), '') as process, court_short as judge, null::varchar as none from documents where process_number is not null and text is not null",
+        "T10_headers": "select distinct doc_id, " + ", ".join(f"{_header_sql('full_text', v)} as {k}" for k, v in HEADERS.items()) + " from raw_docs",
         "T13_sizes": gold(SIZES), "T13_times": gold(TIMES),
         "X1_decode": _values([(b.hex(), r) for b, r in BYTES], "input, result"), "X2_visible_text": gold(PAGES), "X4_url_ids": gold(URLS),
         "X4_table": "select doc_id, string_split(list_extract(string_split(rtrim(url, '/'), '/'), -1), '?')[1] as page_id from documents",

@@ -72,6 +72,22 @@ def _folder(spark: SparkSession, path: str) -> tuple[object, object]:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _folder(spark, path)
+    return bool(files.exists(where))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    files.delete(where, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    files, where = _folder(spark, path)
+    if not files.rename(where, _folder(spark, to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """A scope whose materialized tables are deleted at its end; results must be written before."""
@@ -80,8 +96,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            files, where = _folder(spark, path)
-            files.delete(where, True)
+            delete(spark, path)
 
 
 def clean_up(spark: SparkSession, older_than_hours: float = 24.0) -> int:

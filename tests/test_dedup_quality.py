@@ -47,6 +47,40 @@ def test_ingest_is_idempotent_and_keeps_failures(spark, tmp_path):
     put("2.json", '{"doc_id":"a","v":"2","scraped_at":"2020-01-02T00:00:00"}\n{"doc_id":"c","v":"3","scraped_at":"2020-01-01T00:00:00"}\n')
     run()
     run()
-    rows = spark.read.parquet(ingest.current(spark, str(tmp_path / "out"))).collect()
+    rows = ingest.read(spark, str(tmp_path / "out")).collect()
     assert {(r.doc_id, r.v) for r in rows} == {("a", "2"), ("c", "3")}
     assert {r.doc_id for r in spark.read.json(str(tmp_path / "out" / "retry")).collect()} == {"b"}
+
+
+def test_upsert_rewrites_only_what_it_touches(spark, tmp_path):
+    target = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id string, scraped_at int, v string")
+    assert ingest.read(spark, target) is None
+    ingest.upsert(target, make([(f"d{i}", 1, "a") for i in range(40)] + [(None, 1, "x")]), "doc_id", "scraped_at", buckets=8)
+    one = ingest.current(spark, target)
+    ingest.upsert(target, make([("d3", 2, "b"), ("d3", 0, "c")]), "doc_id", "scraped_at", buckets=8)
+    two = ingest.current(spark, target)
+    assert (one[0], two[0]) == (1, 2) and sum(one[1][b] != two[1][b] for b in one[1]) == 1
+    got = {r.doc_id: r.v for r in ingest.read(spark, target).collect()}
+    assert len(got) == 40 and got["d3"] == "b" and got["d4"] == "a"
+    ingest.upsert(target, make([("d3", 1, "late")]), "doc_id", "scraped_at", buckets=8)
+    ingest.upsert(target, make([]), "doc_id", "scraped_at", buckets=8)
+    assert {r.doc_id: r.v for r in ingest.read(spark, target).collect()} == got
+
+
+def test_batch_is_transformed_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def transform(d):
+        from pyspark.sql import functions as F
+
+        @F.udf("string")
+        def model(x):
+            calls.add(1)
+            return x
+
+        return d.withColumn("v", model("v"))
+
+    spark.createDataFrame([("a", 1, "x"), ("b", 1, None)], "doc_id string, scraped_at int, v string").coalesce(1).write.json(str(tmp_path / "in"))
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), "doc_id string, scraped_at int, v string", transform, failed=lambda d: d.where("v is null"))
+    assert calls.value == 2 and [r.doc_id for r in ingest.read(spark, str(tmp_path / "out")).collect()] == ["a"]
