@@ -148,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"select cite_id from ({_LOST})", "p2_report": " union all ".join(report),
         "p3_found": f"{_CHILDREN} select rec_table, rec_key, child_path, child_pos from child",
         "p3_tables": f"{_CHILDREN} select rec_table, child_path, count(*) as n_rows, count(distinct rec_key) as n_records, count(*) filter (parent_path <> '') as with_parent from child group by all",
+        "p3_exhibits": f"{_CHILDREN} select distinct rec_table, rec_key, parent_path, regexp_replace(pos, '[.][0-9]+$', '') as parent_pos, pos as child_pos, v->>'ref' as ref, try_cast(v->>'pages' as int) as pages from node where element and path = 'timeline_events.exhibits' and json_type(v) = 'OBJECT' and len(list_filter(json_extract(v, '$.*'), lambda x: json_type(x) <> 'NULL')) > 0",
         "p3_refused": "select 'documents' as rec_table, count(*) as records, count(*) filter (metadata is null) as empty, count(*) filter (not json_valid(metadata)) as refused from documents",
         "p4_keywords": _PHRASES,
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import ann, facets, fts, models, search
 from tessella.operators.filters import Filters, has_key
-from tessella.session import shared_dir
+from tessella.session import exists, shared_dir
 from tessella.sources.corpus import VECTOR_FIELDS, serving, stored_vector, stored_vectors, with_vectors
 from tessella.sources.tables import table
 
@@ -72,7 +72,7 @@ _indexes: dict[tuple[str, str], str] = {}
 def _text_index(spark: SparkSession, folder: str) -> DataFrame:
     """The stored postings of the searched text, written once per application and folder."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _indexes:
+    if key not in _indexes or not exists(spark, _indexes[key]):
         path = f"{shared_dir(spark)}/tessella/postings-{uuid.uuid4().hex}"
         docs = serving(spark, folder)
         fts.write_index(docs, search.searched_text(docs), path)
