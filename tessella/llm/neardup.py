@@ -14,6 +14,11 @@ own prefix, and the suffix filter becomes cheap: a parity sketch of each
 projection bounds the size of their symmetric difference from below. No filter loses a
 pair. Candidates are made distinct and verified once on the whole sets.
 
+A projection of a small set holds next to nothing, so that even a common shingle would be
+its rarest. Sets of at most ``SMALL`` shingles are therefore joined whole, as one more part.
+Two sets that reach t differ in size by no more than t, so the part takes all sets up to
+``SMALL`` / t: a pair is either in it, or both its sets are large enough for projections.
+
 Postings travel as packed blocks, one row per map batch and target partition.
 """
 
@@ -31,6 +36,9 @@ from pyspark.sql import functions as F
 from tessella.session import materialize
 
 BUCKETS = 8
+SMALL = 40
+#: The parts of the shingle space, and the part of the small sets.
+PARTS = BUCKETS + 1
 #: 64-bit words of a parity sketch.
 WORDS = 4
 SKETCH_BITS, SKETCH_ROWS = 19, 2
@@ -232,8 +240,10 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
     doc = np.repeat(np.arange(len(sets)), whole)
     count = np.minimum(*[row[c] for row, c in zip(sketch, _cells(gram), strict=True)]) if SKETCH_ROWS == 2 else np.min([row[c] for row, c in zip(sketch, _cells(gram), strict=True)], axis=0)
     h = mix(gram.astype(np.uint64))
-    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
-    cell = doc * BUCKETS + bucket
+    apart, together = np.flatnonzero((whole > SMALL)[doc]), np.flatnonzero((whole <= SMALL / threshold + 1e-9)[doc])
+    cell = np.concatenate([doc[apart] * PARTS + (h[apart] % np.uint64(BUCKETS)).astype(np.int64), doc[together] * PARTS + BUCKETS])
+    both = np.concatenate([apart, together])
+    gram, count, h = gram[both], count[both], h[both]
     order = np.lexsort((gram, count, cell))
     gram, count, h, cell = gram[order], count[order], h[order], cell[order]
     start = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0]))
@@ -247,20 +257,21 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
     index = pos < _indexed(size, threshold)[own]
     keep = np.flatnonzero(probe & (count > 1))  # a gram counted once occurs once
     gram, count, own, pos, index = gram[keep], count[keep], own[keep], pos[keep], index[keep]
-    place = (cell[start] % BUCKETS)[own] + BUCKETS * ((mix(gram.astype(np.uint64) ^ ODD) % np.uint64(spread)).astype(np.int64))
+    place = (cell[start] % PARTS)[own] + PARTS * ((mix(gram.astype(np.uint64) ^ ODD) % np.uint64(spread)).astype(np.int64))
     role = usual = np.where(index, 3, 1).astype(np.uint8)
     much = np.flatnonzero(count > hot)
     if len(much):
+        whose = gram.astype(np.uint64) | ((cell[start] % PARTS)[own].astype(np.uint64) << np.uint64(32))  # a gram may be in a part and in that of the small sets
         sides = -(-count[much].astype(np.int64) // hot)
-        line = np.array([xxhash.xxh32_intdigest(keys[d]) for d in (cell[start] // BUCKETS)[own[much]]]) % sides
+        line = np.array([xxhash.xxh32_intdigest(keys[d]) for d in (cell[start] // PARTS)[own[much]]]) % sides
         copy, side, mine = np.repeat(much, sides), np.repeat(sides, sides), np.repeat(line, sides)
         other = np.arange(len(copy)) - np.repeat(np.cumsum(sides) - sides, sides)
-        grid = lambda row, column: BUCKETS * spread + (mix(mix((row * side + column).astype(np.uint64) + ODD) ^ gram[copy].astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
-        both = index[copy]
+        grid = lambda row, column: PARTS * spread + (mix(mix((row * side + column).astype(np.uint64) + ODD) ^ whose[copy]) >> np.uint64(2)).astype(np.int64)
+        indexed = index[copy]
         rest = np.setdiff1d(np.arange(len(gram)), much, assume_unique=True)
-        pick = np.concatenate([rest, copy, copy[both]])
-        place = np.concatenate([place[rest], grid(mine, other), grid(other, mine)[both]])
-        role = np.concatenate([role[rest], np.full(len(copy), 1, np.uint8), np.full(int(both.sum()), 2, np.uint8)])
+        pick = np.concatenate([rest, copy, copy[indexed]])
+        place = np.concatenate([place[rest], grid(mine, other), grid(other, mine)[indexed]])
+        role = np.concatenate([role[rest], np.full(len(copy), 1, np.uint8), np.full(int(indexed.sum()), 2, np.uint8)])
         gram, own, pos, usual = gram[pick], own[pick], pos[pick], usual[pick]
     out: dict[str, list] = {"part": [], "cell": [], "block": []}
     order = np.argsort(place, kind="stable")
@@ -270,13 +281,13 @@ def _blocks(keys: list[bytes], sets: list[np.ndarray], sketch: np.ndarray, thres
         at = order[a:b]
         at = at[np.argsort(own[at], kind="stable")]
         used, entries = np.unique(own[at], return_counts=True)
-        docs = cell[start[used]] // BUCKETS
+        docs = cell[start[used]] // PARTS
         wide, large = _narrow(max(int(pos[at].max()), int(size[used].max()))), _narrow(int(whole[docs].max()))
         salted = bool((role[at] != usual[at]).any())
         head = np.array([len(used), len(at), np.dtype(wide).itemsize, np.dtype(large).itemsize, salted], np.int64)
         fields = (head, key_bytes[docs], whole[docs].astype(large), size[used].astype(wide), parity[used], entries.astype(wide), gram[at], pos[at].astype(wide), *([role[at]] if salted else []))
         to = int(place[order[a]])
-        out["part"].append(to if to < BUCKETS * spread else BUCKETS * spread + to % extra)
+        out["part"].append(to if to < PARTS * spread else PARTS * spread + to % extra)
         out["cell"].append(to)
         out["block"].append(b"".join(x.tobytes() for x in fields))
     return out
@@ -409,8 +420,8 @@ def near_duplicates(texts: DataFrame, *, doc_id: Column, text: Column, size: int
     total = sets.agg(F.sum("n")).first()[0] or 0
     spread = max(1, -(-int(total) // (BUCKETS * part_grams)))
     counts = spark.sparkContext.broadcast(frequencies(sets, max(1, sets.rdd.getNumPartitions())))  # of fixed size
-    extra = hot_cells(counts.value, hot, 2 * BUCKETS * spread)
-    found = materialize(candidates(postings(sets, counts, threshold, spread, hot, extra), threshold, BUCKETS * spread + extra), "neardup-candidates")
+    extra = hot_cells(counts.value, hot, 2 * PARTS * spread)
+    found = materialize(candidates(postings(sets, counts, threshold, spread, hot, extra), threshold, PARTS * spread + extra), "neardup-candidates")
     return verified(found, sets, threshold), sets.select("class", "doc_id").distinct()
 
 

@@ -93,6 +93,31 @@ def test_frequent_gram_is_split_on_both_sides(spark):
         row += np.bincount(cells, minlength=len(row)).astype(np.uint32)
     out = neardup._blocks([i.to_bytes(16, "big") for i in range(len(rows))], small, sketch, 0.6, 2, 20, neardup.hot_cells(sketch, 20, 32))
     for cell, block in zip(out["cell"], out["block"]):
-        if cell >= neardup.BUCKETS * 2:
+        if cell >= neardup.PARTS * 2:
             role = neardup._unpack(block, 0.6)[6]
             assert (role & 1).sum() < 60 and (role & 2).sum() < 60  # of 260
+
+
+@pytest.mark.parametrize("small", [0, 4, 15, 10**6])
+def test_small_sets_are_joined_whole(spark, monkeypatch, small):
+    """Wherever the line between small and large sets is drawn, no pair is lost: here within one process."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rows = corpus(11)
+    texts = sorted({t for d, t in rows if d and t})
+    sets = [(np.unique((s >> np.uint64(32)).astype(np.uint32)), t) for s, t in zip(neardup.shingle_sets(texts, 2), texts) if len(s)]
+    classes = {s.tobytes(): s for s, _ in sets}
+    keys = [i.to_bytes(16, "big") for i in range(len(classes))]
+    grams = list(classes.values())
+    sketch = np.zeros((neardup.SKETCH_ROWS, 1 << neardup.SKETCH_BITS), np.uint32)
+    for row, cells in zip(sketch, neardup._cells(np.concatenate(grams))):
+        row += np.bincount(cells, minlength=len(row)).astype(np.uint32)
+    out = neardup._blocks(keys, grams, sketch, 0.5, 1, 10**9, 0)
+    found = set()
+    for cell in set(out["cell"]):
+        a, b = neardup.joined([x for c, x in zip(out["cell"], out["block"]) if c == cell], 0.5)
+        found |= {frozenset((x.tobytes(), y.tobytes())) for x, y in zip(a, b)}
+    for i, x in enumerate(grams):
+        for j in range(i):
+            same = len(np.intersect1d(x, grams[j]))
+            if same >= 0.5 * (len(x) + len(grams[j]) - same):
+                assert frozenset((keys[i], keys[j])) in found
