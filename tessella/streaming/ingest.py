@@ -56,7 +56,7 @@ def upsert(target: str, rows: DataFrame, key: str, order: str, buckets: int = BU
     rest = [c for c in new.columns if c not in (key, "_bucket")]
     latest = new.groupBy("_bucket", key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order))).alias("x")).select("_bucket", key, "x.*")
     folder = f"{target}/v-{uuid.uuid4().hex}"
-    latest.write.partitionBy("_bucket").parquet(folder)
+    latest.repartition("_bucket").write.partitionBy("_bucket").parquet(folder)  # rows are one per key by now; a file per bucket
     named = paths | {b: f"{folder}/_bucket={b}" for b in touched}
     record = [(version + 1, b, p) for b, p in sorted(named.items())]
     spark.createDataFrame(record, MANIFEST).coalesce(1).write.json(f"{target}/current/{version + 1:010d}")
