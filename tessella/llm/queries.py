@@ -134,10 +134,22 @@ n as (select c.id, c.n, d.copies, d.class_id from (select id, count(*) as n from
 """
 
 
+# Equal windows at one shift that follow each other are one run; runs that overlap or touch are one span.
+_SPANS = """
+with d as ({d}), e as ({e}),
+h as (select distinct doc_id, item_id, d.p as i, d.p - e.p as shift from d join e on d.g = e.g),
+r as (select doc_id, item_id, min(i) - 1 as a, max(i) + 11 as b from (select *, i - row_number() over (partition by doc_id, item_id, shift order by i) as run from h) group by doc_id, item_id, shift, run),
+m as (select *, case when a <= max(b) over (partition by doc_id, item_id order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from r),
+s as (select *, sum(new) over (partition by doc_id, item_id order by a, b rows unbounded preceding) as span from m)
+select doc_id, item_id, min(a)::int as first_word, (max(b) - 1)::int as last_word, max(b - a)::int as longest from s group by doc_id, item_id, span
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose definition it can state; the others are tested against brute force."""
     fold = "regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
     windows = "select distinct {k}, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) as g from (select {k}, {f} as w from {t}) where len(w) >= 12"
+    places = "select {k}, unnest(generate_series(1, len(w) - 11)) as p, unnest(list_transform(generate_series(1, len(w) - 11), lambda i: array_to_string(w[i:i + 11], ' '))) as g from (select {k}, {f} as w from {t}) where len(w) >= 12"
     letters = "len(regexp_extract_all({c}, '\\p{{L}}+'))"
     act = _FULL_ACT.replace("(n", "(?:n").replace("[0-9]+(-[A-Z])?/[0-9]{4}", "([0-9]+(?:-[A-Z])?/[0-9]{4})")
     kind = lambda c: f"regexp_extract({c}, '{act}', 1) || ' ' || regexp_extract({c}, '{act}', 2)"
@@ -150,5 +162,6 @@ def oracle_sql() -> dict[str, str]:
         "p8_heldout": f"with g as (select distinct l.doc_id from reading_labels l join documents d on d.doc_id = l.doc_id where grade is not null and regexp_matches(d.text, '\\p{{L}}')), t as (select count(*) filter (md5(doc_id::varchar)[1] >= '8') as tested from g) select tested, case when tested >= {ENOUGH} then true end as ordered, case when tested >= {ENOUGH} then true end as graded, case when tested >= {ENOUGH} then true end as shuffled_fails from t",
         "p5_found": f"with {_SHINGLES} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b on a.s = b.s and a.doc_id < b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= 0.6 * (x.n + y.n - count(*))",
         "p6_found": f"with d as ({windows.format(k='doc_id', f=fold.format(c='text'), t='documents')}), e as ({windows.format(k='item_id', f=fold.format(c='text'), t='eval_items')}) select distinct doc_id, item_id from d join e on d.g = e.g",
+        "p6_spans": _SPANS.format(d=places.format(k="doc_id", f=fold.format(c="text"), t="documents"), e=places.format(k="item_id", f=fold.format(c="text"), t="eval_items")),
         "p8_found": f"with m as (select doc_id, {letters.format(c='text')} as n, len(regexp_extract_all(text, '\\p{{L}}{{7,}}')) as l, len(list_filter(regexp_split_to_array(text, '[.!?…]+(\\s|$)|\\n[^\\S\\n]*\\n|\\r\\n[^\\S\\n]*\\r\\n'), lambda p: regexp_matches(p, '\\p{{L}}'))) as s from documents), b as (select doc_id, case when n <= 12 * s and l <= 0.3 * n then 'easy' when n >= 30 * s and l >= 0.4 * n then 'hard' end as reading_band from m where n > 0) select * from b where reading_band is not null",
     }
