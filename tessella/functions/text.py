@@ -200,10 +200,11 @@ def header_field(text: Column, key: str, within: int = 4000) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a unit: 1023 -> 1023.0 B, 1536 -> 1.5 KB."""
-    out = F.format_string("%.1f TB", n / float(1 << 40))
+    """Bytes with a unit: 1023 -> 1023.0 B, 1536 -> 1.5 KB; exact halves go to the even digit."""
+    shown = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / float(1 << power), 1))
+    out = shown(40, "TB")
     for power, unit in ((30, "GB"), (20, "MB"), (10, "KB"), (0, "B")):
-        out = F.when(n < float(1 << (power + 10)), F.format_string(f"%.1f {unit}", n / float(1 << power))).otherwise(out)
+        out = F.when(n < float(1 << (power + 10)), shown(power, unit)).otherwise(out)
     return out
 
 

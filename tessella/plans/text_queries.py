@@ -219,6 +219,19 @@ def x_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.lower("doc_id").alias("doc_id"), F.md5("t").alias("text_md5")).distinct()
 
 
+def p8_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored vector written as text and read back; one cut short is none."""
+    v = table(spark, folder, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.lit("]")).alias("t"))
+    back = v.select("vec_id", text.vector_of(F.col("t"), 64).alias("v"), text.vector_of(F.concat(F.substring_index("t", ",", 63), F.lit("]")), 64).alias("cut"))
+    return back.select("vec_id", F.size("v").cast("bigint").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.col("cut").isNull().alias("cut_is_null"))
+
+
+def t13_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Each event's value as a number of megabytes and of minutes."""
+    e = table(spark, folder, "events").where("value is not null")
+    return e.select("event_id", text.human_size(F.floor(F.col("value") * (1 << 20)).cast("bigint")).alias("size"), text.human_duration(F.floor(F.col("value") * 60).cast("double")).alias("duration"))
+
+
 def x5_links(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark, "page string", [(LISTING,)]).select(F.explode(html.page_links("https://h.example")("page")).alias("x")).select("x.kind", "x.url")
 
@@ -245,7 +258,7 @@ def queries() -> dict:
         "P6_json_guard": lambda s, f: table(s, f, "documents").agg(F.count("metadata").alias("texts"), F.count(F.try_parse_json("metadata")).alias("valid")),
         "P8_vector_text": g(VECTORS, "string", lambda c: F.array_join(text.vector_of(c, 3).cast("array<string>"), ",")),
         "P9_rounding": lambda s, f: table(s, f, "events").select("event_id", F.round("value", 4).alias("four"), F.round("value", 2).alias("two")),
-        "P10_reply": g(REPLIES, "string", text.json_reply),
+        "P8_table": p8_table, "T13_table": t13_table, "P10_reply": g(REPLIES, "string", text.json_reply),
         "F10_F24_lengths": f_lengths, "F12_nonempty": f12_variants, "F14_F23_shapes": f_shapes, "F16_F17_articles": f16_articles, "F18_keywords": f18_keywords,
         "T1_keywords": g(KEYWORDS, "string", text.keywords),
         "T1_keywords_table": lambda s, f: table(s, f, "documents").select("doc_id", text.keywords(F.try_variant_get(F.try_parse_json("metadata"), "$.keywords_search_query", "string")).alias("k")).where("k is not null"),
@@ -289,6 +302,8 @@ def oracle_sql() -> dict[str, str]:
         "P4_prompt": "select distinct doc_id, md5(p) as prompt_md5, length(p)::bigint as chars from (select doc_id, 'Court: ' || coalesce(nullif(court, ''), nullif(court_short, ''), '') || chr(10) || chr(10) || left(coalesce(full_text, ''), 80000) as p from raw_docs)",
         "P5_json_fields": f"with {S} select doc_id, metadata->>'decision_type' as decision_type, metadata->>'extraction_confidence' as extraction_confidence from s",
         "P6_json_guard": "select count(metadata) as texts, count(*) filter (json_valid(metadata)) as valid from documents",
+        "P8_table": "select vec_id, 64::bigint as dim, round(list_sum(embedding::double[]), 4) as total, true as cut_is_null from embeddings",
+        "T13_table": "with e as (select event_id, floor(value * 1048576)::bigint as b, floor(value * 60)::bigint as s from events where value is not null) select event_id, case when b < 1024 then printf('%.1f B', b::double) when b < 1048576 then printf('%.1f KB', b / 1024.0::double) when b < 1073741824 then printf('%.1f MB', b / 1048576.0::double) else printf('%.1f GB', b / 1073741824.0::double) end as size, printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) as duration from e",
         "P8_vector_text": gold(VECTORS), "P10_reply": gold(REPLIES),
         "P9_rounding": "select event_id, round(value, 4) as four, round(value, 2) as two from events",
         "F10_F24_lengths": "select count(*) filter (length(full_text) >= 200) as long_enough, count(*) filter (contains(full_text, 'Processo')) as with_number, count(*) filter (contains(full_text, 'Relator')) as with_judge, count(*) filter (contains(full_text, 'Decisão Texto Integral') or contains(full_text, 'Acordam') or contains(upper(full_text), 'RELATÓRIO')) as with_body from raw_docs",
