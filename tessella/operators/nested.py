@@ -192,22 +192,17 @@ def invalid(records: DataFrame, rec_table: str, content: Column) -> DataFrame:
     return records.agg(F.count("*").alias("records"), F.count_if(content.isNull()).alias("empty"), F.count_if(refused(content)).alias("refused")).select(F.lit(rec_table).alias("rec_table"), "records", "empty", "refused")
 
 
-#: What a text must begin with to hold JSON with objects, wrapped as text any number of times.
-HOLDS_JSON = '^[\\s"\\\\]*[\\[{]'
+def _may_hold(kind: T.DataType) -> bool:
+    """Whether values of this type may be or hold JSON with objects: all but numbers, truth values, times and bytes, alone or in lists."""
+    if isinstance(kind, T.ArrayType):
+        return _may_hold(kind.elementType)
+    return not isinstance(kind, T.AtomicType) or isinstance(kind, (T.StringType, T.CharType, T.VarcharType, T.VariantType))
 
 
 def struct_as_json(record: str, kind: T.StructType) -> Column:
-    """A struct as JSON text with only the fields that may hold children: nested ones, and texts (alone or in lists) that may be JSON."""
-    parts = []
-    for f in kind.fields:
-        c = F.col(record)[f.name]
-        if isinstance(f.dataType, T.StringType):
-            parts.append(F.when(c.rlike(HOLDS_JSON), c).alias(f.name))
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            parts.append(F.when(F.exists(c, lambda x: x.rlike(HOLDS_JSON)), c).alias(f.name))
-        elif isinstance(f.dataType, (T.StructType, T.MapType)) or isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StructType, T.ArrayType, T.MapType)):
-            parts.append(c.alias(f.name))
-    return F.when(F.col(record).isNotNull(), F.to_json(F.struct(*parts))) if parts else F.lit(None).cast("string")
+    """A struct as JSON text with every field that may hold children: texts as they are, as only ``unwrap`` knows what they hold; children keep their null fields."""
+    parts = [F.col(record)[f.name].alias(f.name) for f in kind.fields if _may_hold(f.dataType)]
+    return F.when(F.col(record).isNotNull(), F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})) if parts else F.lit(None).cast("string")
 
 
 def distinct_children(tagged: DataFrame) -> DataFrame:

@@ -90,3 +90,21 @@ def test_tables_read_back(spark, tmp_path):
     nested.write_children(nested.flatten(df, "documents", F.col("doc_id"), F.col("metadata")), str(tmp_path / "x"))
     rows = nested.read_children(spark, str(tmp_path / "x"), "documents", "parties.representatives", "name string").collect()
     assert [(r.rec_key, r.parent_path, r.parent_pos, r.child_pos, r["name"]) for r in rows] == [("1", "parties", "1", "1.1", "b")]
+
+
+def test_struct_keeps_whatever_may_hold_children(spark):
+    item = [{"k": 1}, None, {"k": 2}]
+    # inside the wrapping quotes, blanks and brackets are written as escapes
+    forms = {"line": json.dumps("\n  " + json.dumps(item)), "tab": json.dumps(json.dumps("\t" + json.dumps(item))), "code": json.dumps(json.dumps(item)).replace("[", "\\u005b")}
+    df = spark.createDataFrame([((t, [None, t], 1), n) for n, t in forms.items()], "r struct<note: string, names: array<string>, size: int>, doc_id string")
+    got = nested.flatten(df, "t", F.col("doc_id"), nested.struct_as_json("r", df.schema["r"].dataType)).collect()
+    for n, t in forms.items():
+        want = [("note", "1"), ("note", "3"), ("names", "2.1"), ("names", "2.3")]
+        assert found(json.dumps({"note": t, "names": [None, t]})) == want
+        assert [(r.child_path, r.child_pos) for r in got if r.rec_key == n] == want
+
+
+def test_struct_keeps_variants_and_null_fields(spark):
+    df = spark.sql("""select 'd' as doc_id, named_struct('v', parse_json('{"p": [{"a": 1}]}'), 'w', array(parse_json('{"b": 2}')), 'x', array(named_struct('c', 3, 'n', cast(null as string))), 't', time'10:00:00') as r""")
+    got = nested.flatten(df, "t", F.col("doc_id"), nested.struct_as_json("r", df.schema["r"].dataType)).collect()
+    assert [(r.child_path, r.child_pos, json.loads(r.payload)) for r in got] == [("p", "1", {"a": 1}), ("w", "1", {"b": 2}), ("x", "1", {"c": 3, "n": None})]
