@@ -72,10 +72,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_caps(spark: SparkSession, folder: str) -> DataFrame:
-    """Per target source: its documents, and how many were drawn more often than its cap, or less or more than its rate allows."""
+    """Per target source: its documents, and how many were drawn more often than its cap, or less (also not at all) or more than its rate allows."""
     copies, plan = _mix(spark, folder)
-    times = copies.groupBy("source", "doc_id").agg(F.count("*").alias("n")).join(F.broadcast(plan.select("source", "rate", "max_repeats")), "source")  # a row per target
-    drawn = times.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_cap"), F.count_if((F.col("n") < F.floor("rate")) | (F.col("n") > F.ceil("rate"))).alias("off_rate"))
+    held = table(spark, folder, "documents").select("source", "doc_id", F.lit(1).alias("held"), F.lit(0).alias("drawn"))
+    both = held.unionByName(copies.select("source", "doc_id", F.lit(0).alias("held"), F.lit(1).alias("drawn"))).join(F.broadcast(plan.select("source", "rate", "max_repeats")), "source")  # a row per target
+    times = both.groupBy("source", "doc_id", "rate", "max_repeats").agg(F.sum("held").alias("held"), F.sum("drawn").alias("n"))
+    off = (F.col("n") < F.floor("rate") * F.col("held")) | (F.col("n") > F.ceil("rate") * F.col("held"))
+    drawn = times.groupBy("source").agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_cap"), F.count_if(off).alias("off_rate"))
     return plan.select("source", "documents").join(drawn, "source", "left").fillna(0, ["over_cap", "off_rate"])
 
 

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessella.llm import mixing, readability
+from tessella.llm import mixing, queries, readability
 
 CORPUS = "doc_id long, source string, text string"
 
@@ -113,3 +114,21 @@ def test_pair_accuracy_against_all_pairs():
     score, grades = rng.integers(0, 9, 80).astype(float), rng.integers(1, 6, 80).astype(float)
     pairs = [(i, j) for i in range(80) for j in range(80) if grades[i] > grades[j]]
     assert abs(readability.pair_accuracy(score, grades) - np.mean([(score[i] > score[j]) + 0.5 * (score[i] == score[j]) for i, j in pairs])) < 1e-12
+
+
+def test_caps_count_documents_that_were_not_drawn(spark, tmp_path, monkeypatch):
+    docs = [(i, "a" if i < 6 else "b" if i < 9 else "c", "some words of a text " * 5) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 4), ("d", 0.1, 1)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mix_targets.parquet"))
+    caps = lambda: {r.source: (r.documents, r.over_cap, r.off_rate) for r in queries.p7_caps(spark, str(tmp_path)).collect()}
+    assert caps() == {"a": (6, 0, 0), "b": (3, 0, 0), "d": (0, 0, 0)}
+    drawn = mixing.draw
+
+    def faulty(*args, **options):
+        copies, plan = drawn(*args, **options)
+        extra = copies.where("source = 'a' and doc_id = 1").withColumns({"source": F.lit("b"), "doc_id": F.lit(3).cast("long")})
+        return copies.where("doc_id <> 0 and source = 'a'").unionByName(extra), plan
+
+    monkeypatch.setattr(mixing, "draw", faulty)
+    # a lost one of its documents, b all three, and b got one of a's
+    assert caps() == {"a": (6, 0, 1), "b": (3, 0, 4), "d": (0, 0, 0)}
